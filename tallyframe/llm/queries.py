@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import exact_dedup, packing, sharding, simhash, token_files
+from tallyframe.llm import bpe, exact_dedup, packing, pii, sharding, simhash, sketch, token_files
 from tallyframe.llm.common import scratch_path, table
-from tallyframe.llm.tokens import default_path
+from tallyframe.llm.tokens import default_path, tokenizer_pattern
+
+
+def op1_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op4_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,13 +37,17 @@ def op8_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_bpe_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.tiktoken"), tokenizer_pattern())
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token_ids")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, default_path("byte_bpe_50k.json"), end=0)
     return token_files.checked(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op6_bounded_ring_sharding, op7_simhash_near_dedup, op8_bloom_exact_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_pii_boosted_candidates, op4_scaled_sketch, op5_best_fit_packing, op6_bounded_ring_sharding, op7_simhash_near_dedup, op8_bloom_exact_dedup, op9_bpe_folds, op10_token_files)}
 
 ORACLES = {
     "op8_bloom_exact_dedup": r"""

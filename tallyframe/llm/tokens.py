@@ -12,7 +12,8 @@ import re
 
 import numpy as np
 
-END = re.compile(r" (?=\s|\Z)")
+#: A space before white space or the end may belong to a longer run.
+UNSURE = re.compile(r" (?=\s|\Z)")
 
 
 def default_path(name: str) -> str:
@@ -21,6 +22,20 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def tokenizer_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def spaced(text: str) -> tuple[str, list[str]]:
+    """A text as its head and what follows each space that begins a new token; the whole text as head where that is in doubt."""
+    if UNSURE.search(text):
+        return text, []
+    head, *rest = text.split(" ")
+    return (text, []) if any(map(str.isspace, {w[0] for w in rest})) else (head, rest)
+
+
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids as bytes.
 
@@ -56,15 +71,7 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if END.search(text):  # some space stands before white space: cut at the others only
-            words = re.split(r" (?=\S)", text)
-            if any(w and w[0].isspace() for w in words[1:]):
-                return self.whole(text)
-        else:
-            words = text.split(" ")
-        head, rest = words[0], words[1:]
-        if any(map(str.isspace, {w[0] for w in rest})):  # white space that only one of the libraries knows
-            return self.whole(text)
+        head, rest = spaced(text)
         first = self.whole(head) if head else b""
         try:
             return first + b"".join([self.known[w] for w in rest])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, exact_dedup, packing, pii, sharding, simhash, sketch, token_files
+from tallyframe.llm import bpe, exact_dedup, langid, licenses, packing, pii, sharding, simhash, sketch, token_files
 from tallyframe.llm.common import scratch_path, table
 from tallyframe.llm.tokens import default_path, tokenizer_pattern
 
@@ -14,6 +14,16 @@ def op1_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op2_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.fit(table(spark, sf_dir, "documents"))
+    found = langid.pages_language(table(spark, sf_dir, "pages"), model)
+    return found.select(F.col("key").alias("page_id"), "lang", "confidence", "text_lang")
+
+
+def op3_license_patience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -47,7 +57,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checked(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_boosted_candidates, op4_scaled_sketch, op5_best_fit_packing, op6_bounded_ring_sharding, op7_simhash_near_dedup, op8_bloom_exact_dedup, op9_bpe_folds, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_pii_boosted_candidates, op2_language_fusion, op3_license_patience, op4_scaled_sketch, op5_best_fit_packing, op6_bounded_ring_sharding, op7_simhash_near_dedup, op8_bloom_exact_dedup, op9_bpe_folds, op10_token_files)}
 
 ORACLES = {
     "op8_bloom_exact_dedup": r"""

@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import materialize
-from tallyframe.llm.tokens import Encoder
+from tallyframe.llm.tokens import encoder
 
 PIECES = "rid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _pieces(path: str, end: int, tokens: int):
+def _pieces(path: str, pattern: str, end: int, tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path, pattern)
         tail = np.asarray([end], "<u4").tobytes()
         for batch in batches:
             rows = []
@@ -52,10 +52,10 @@ def _pieces(path: str, end: int, tokens: int):
     return run
 
 
-def pieces(docs: DataFrame, tokenizer: str, end: int, tokens: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, pattern: str, end: int, tokens: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document's pieces, without the ids: what packing needs."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_pieces(tokenizer, end, tokens), PIECES)
+    return rows.mapInArrow(_pieces(tokenizer, pattern, end, tokens), PIECES)
 
 
 def best_fit(histogram: dict[int, int], tokens: int, documents: int, attention: int, rule: str = "residual") -> list[tuple[int, list[tuple[int, int]]]]:

@@ -29,7 +29,7 @@ def op4_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = packing.pieces(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"), end=2, tokens=1024)
+    cut = packing.pieces(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"), tokenizer_pattern(), end=2, tokens=1024)
     return packing.pack(cut, tokens=1024)
 
 
@@ -53,7 +53,7 @@ def op9_bpe_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token_ids")
-    token_files.write_tokens(table(spark, sf_dir, "documents"), path, default_path("byte_bpe_50k.json"), end=0)
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, default_path("byte_bpe_50k.json"), tokenizer_pattern(), end=0)
     return token_files.checked(spark, path)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.tokens import Encoder
+from tallyframe.llm.tokens import encoder
 
 FILE = "doc_id long, part int, row long, start_in_part long, n_tokens long, token_ids array<int>"
 LAYOUT = {
@@ -34,14 +34,14 @@ LAYOUT = {
 }
 
 
-def _encoded(path: str, end: int, most: int = 1 << 20):
+def _encoded(path: str, pattern: str, end: int, most: int = 1 << 20):
     """A batch of rows at a time, of about ``most`` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode, tail = Encoder(path), np.asarray([end], "<u4").tobytes()
+        encode, tail = encoder(path, pattern), np.asarray([end], "<u4").tobytes()
         row, start = 0, 0
 
         def flush(docs: list, ids: list[bytes]) -> pa.RecordBatch:
@@ -68,11 +68,11 @@ def _encoded(path: str, end: int, most: int = 1 << 20):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 0, parts: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, end: int = 0, parts: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encode docs and write their ids below path. The texts are sorted, not the ids: they take less room in the shuffle."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     ordered = rows.repartitionByRange(*([parts] if parts else []), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_encoded(tokenizer, end), FILE).write.options(**LAYOUT).parquet(path)
+    ordered.mapInArrow(_encoded(tokenizer, pattern, end), FILE).write.options(**LAYOUT).parquet(path)
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:

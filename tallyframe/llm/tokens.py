@@ -1,19 +1,27 @@
 """Token ids from a tokenizers file, at the speed of a dictionary.
 
 The byte-level pattern never lets a token cross a space that stands before a character other than white space. So a text is cut
-there, each distinct piece is encoded once by the tokenizers library, and a bounded cache serves the repeats. The ids are those
-of the whole text.
+there, each distinct piece is encoded by the tokenizers library, and a bounded cache serves the repeats. The ids are those of the
+whole text.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from functools import lru_cache
 
-import numpy as np
+import regex
 
-#: A space before white space or the end may belong to a longer run.
-UNSURE = re.compile(r" (?=\s|\Z)")
+#: Before such a space a new token begins; Python counts a few more characters as white space than the tokenizers do, which only
+#: leaves a piece longer.
+CUT = re.compile(r" (?=\S)")
+#: Some space isn't like that.
+OTHER = re.compile(r" (?=\s|\Z)")
+#: The same for texts in ASCII.
+SPACED = tuple(f" {chr(c)}" for c in (*range(9, 14), *range(28, 33)))
+MARKS = frozenset(".,;:!?")
 
 
 def default_path(name: str) -> str:
@@ -29,51 +37,92 @@ def tokenizer_pattern() -> str:
 
 
 def spaced(text: str) -> tuple[str, list[str]]:
-    """A text as its head and what follows each space that begins a new token; the whole text as head where that is in doubt."""
-    if UNSURE.search(text):
-        return text, []
-    head, *rest = text.split(" ")
-    return (text, []) if any(map(str.isspace, {w[0] for w in rest})) else (head, rest)
+    """A text as its head and what follows each space that begins a new token."""
+    unsure = any(map(text.__contains__, SPACED)) or text[-1] == " " if text.isascii() else OTHER.search(text)
+    head, *rest = CUT.split(text) if unsure else text.split(" ")
+    return head, rest
+
+
+def _printable() -> dict[int, str]:
+    """The character that the byte-level alphabet has for each byte: itself if it shows, else the next one from U+0100."""
+    shows = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in set(shows)]
+    return {b: chr(b) for b in shows} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids as bytes.
 
-    pieces: how many pieces the cache holds before it starts anew. longest: longer pieces are not kept.
+    pieces: how many pieces the cache holds before it starts anew. longest: longer pieces are not kept. A word in Latin script goes to
+    the tokenizer's model, after what the tokenizer's own pattern would split it into; any other piece goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, pieces: int = 400_000, longest: int = 40):
+    def __init__(self, path: str, pattern: str, pieces: int = 1_000_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.find, self.alphabet = self.tokenizer.model, regex.compile(pattern).findall, _printable()
+        self.space = self.alphabet[32]
         self.pieces, self.longest = pieces, longest
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # what follows a space -> ids with that space
+        self.parts: dict[str, bytes] = {}
+        self.marks = {m: self.part(m) for m in MARKS}
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        new = list({w for w in words if w not in self.known})
-        if len(self.known) + len(new) > self.pieces:
-            self.known = {}
-            new = list(set(words))
-        short = [w for w in new if len(w) <= self.longest]
-        for at in range(0, len(short), 4096):
-            part = short[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([f" {w}" for w in part], add_special_tokens=False)
-            self.known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
-        if len(short) == len(new):
-            return self.known
-        return self.known | {w: self.whole(f" {w}") for w in new if len(w) > self.longest}
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def part(self, part: str) -> bytes:
+        """One match of the pattern."""
+        code = self.parts.get(part)
+        if code is None:
+            code = array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+            if len(part) <= self.longest:
+                if len(self.parts) > self.pieces // 4:
+                    self.parts = {}
+                self.parts[part] = code
+        return code
+
+    def piece(self, piece: str) -> bytes:
+        if max(piece) >= "\u0250":
+            return self.whole(piece)
+        return b"".join(map(self.part, self.find(piece)))
+
+    def word(self, word: str) -> bytes:
+        """What follows a space, with that space: most are letters, or letters and a mark."""
+        if word.isalpha():
+            if word.isascii():  # these are themselves in the byte-level alphabet
+                return array("I", [t.id for t in self.model.tokenize(self.space + word)]).tobytes()
+            if max(word) < "\u0250":
+                return array("I", [t.id for t in self.model.tokenize(f" {word}".encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+        elif word[-1] in MARKS and (stem := word[:-1]).isalpha():
+            return (self.known.get(stem) or self.learn(stem)) + self.marks[word[-1]]
+        return self.piece(f" {word}")
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
         head, rest = spaced(text)
-        first = self.whole(head) if head else b""
-        try:
-            return first + b"".join([self.known[w] for w in rest])
-        except KeyError:
-            return first + b"".join(map(self._learn(rest).__getitem__, rest))
+        first = self.piece(head) if head else b""
+        codes = list(map(self.known.get, rest))
+        if None in codes:
+            if len(self.known) > self.pieces:
+                self.known = {}
+            at = -1
+            for _ in range(codes.count(None)):
+                at = codes.index(None, at + 1)
+                codes[at] = self.known.get(rest[at]) or self.learn(rest[at])
+        return first + b"".join(codes)
+
+    def learn(self, word: str) -> bytes:
+        code = self.word(word)
+        if len(word) <= self.longest:
+            self.known[word] = code
+        return code
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> Encoder:
+    """One for each Python worker: its cache serves all its tasks."""
+    return Encoder(path, pattern)

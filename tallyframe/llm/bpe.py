@@ -4,8 +4,9 @@ Texts are split by the pattern of the rank files. The distinct words of the corp
 array of single-byte tokens merges, step by step, the adjacent pair of lowest rank, which it looks up in a literal rank map (from
 the two token ids to the id of both). The map is an array of small maps by a hash of the pair, so a lookup is short.
 
-Documents meet their words in groups of consecutive rows. A group's distinct words, with their ids joined from the dictionary, come
-to its texts by a co-group: no dictionary of the corpus is broadcast or held in one place. Decoding concatenates the byte pieces of
+Documents meet their words in groups of consecutive rows. A group deals its distinct words into buckets by hash; a bucket encodes
+each of its words once and sends every group its own words with their ids, and a co-group brings these to the group's texts. No
+dictionary of the corpus is broadcast or held in one place: a group's and a bucket's size stay the same as the corpus grows. Decoding concatenates the byte pieces of
 the ids. Words of more than ``longest`` bytes, where a fold would be quadratic, are encoded by the tiktoken library in place.
 
 Defined cases: a null text counts as empty and has no ids; repeated rows are rows each; a null doc_id stays null; an empty table
@@ -16,19 +17,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import materialize
 from tallyframe.llm.tokens import spaced
 
-BUCKETS = 1 << 16
+NONE = 2**31 - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,105 +37,181 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def pair_map(ranks: dict[bytes, int]) -> list[dict[str, int]]:
-    """For each bucket: left id * 2**32 + right id -> id of both."""
-    out: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+def pair_map(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
+    """shift, slots: the pair (left, right) becomes slots[shift[left] + right] & 0xFFFF if that slot >> 16 is left, else nothing.
+
+    The rows of a sparse table of pairs lie over each other, each shifted to where its entries are free: longest rows first, from a
+    place by hash.
+    """
+    rows: dict[int, dict[int, int]] = {}
     for token, rank in ranks.items():
         for at in range(1, len(token)):
             left, right = ranks.get(token[:at]), ranks.get(token[at:])
             if left is not None and right is not None:
-                out[(left * 40503 + right * 30011) % BUCKETS][str(left << 32 | right)] = rank
-    return out
+                rows.setdefault(left, {})[right] = rank
+    width = max(ranks.values()) + 1
+    size = 8 * width
+    slots, shift = [-1] * (size + width), [0] * width
+    for left in sorted(rows, key=lambda k: (-len(rows[k]), k)):
+        at = left * 2654435761 % size
+        while any(slots[at + right] >= 0 for right in rows[left]):
+            at = (at + 40503) % size
+        shift[left] = at
+        for right, rank in rows[left].items():
+            slots[at + right] = left << 16 | rank
+    return shift, slots
+
+
+def encode_words(words: DataFrame, ranks: dict[bytes, int], source: str = "words", out: str = "ids") -> DataFrame:
+    """Add ``out`` (array<array<int>>): the ids of each of an array of words (binary)."""
+
+    def literal(values: list[int], kind: str) -> Column:
+        return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")  # folded to a literal by the optimizer
+
+    shift, slots = pair_map(ranks)
+    shift, slots = literal(shift, "int"), literal(slots, "bigint")
+    single = literal([ranks[bytes([b])] for b in range(256)], "int")
+    digit = literal([*range(10), *[0] * 7, *range(10, 16)], "int")
+    none = F.lit(NONE)
+
+    def start(word: Column) -> Column:
+        nibble = lambda at: F.get(digit, F.ascii(at) - 48)
+        return F.transform(F.regexp_extract_all(F.hex(word), F.lit(".."), F.lit(0)), lambda x: F.get(single, nibble(x) * 16 + nibble(F.substring(x, 2, 1))))
+
+    def ranked(ids: Column) -> Column:
+        """The rank of each pair of neighbours."""
+        found = F.zip_with(ids, F.slice(ids, 2, F.size(ids)), lambda a, b: F.get(slots, F.get(shift, a) + b))  # null for the last
+        return F.zip_with(found, ids, lambda e, a: F.when(F.shiftright(e, 16) == a, e.bitwiseAND(F.lit(65535)).cast("int")).otherwise(none))
+
+    def step(ids: Column, _: Column) -> Column:
+        merged = F.transform(F.array(ranked(ids)), lambda p: F.transform(F.array(F.array_min(p)), lambda least: F.when(least == none, F.array_append(ids, F.lit(-1))).otherwise(joined(ids, p, least)))[0])
+        return F.when(F.element_at(ids, -1) == -1, ids).otherwise(merged[0])  # a last -1: no pair is left
 
+    def joined(ids: Column, p: Column, least: Column) -> Column:
+        return F.transform(F.array(F.array_position(p, least).cast("int")), lambda at: F.concat(F.slice(ids, F.lit(1), at - 1), F.array(least), F.slice(ids, at + 2, F.size(ids))))[0]
 
-def encode_words(words: DataFrame, ranks: dict[bytes, int], word: str = "word") -> DataFrame:
-    """Add ids (array<int>) for each row's word (binary)."""
-    table = F.from_json(F.lit(json.dumps(pair_map(ranks), separators=(",", ":"))), "array<map<string,int>>")
-    singles = [ranks[bytes([b])] for b in range(256)]
-    start = F.expr(f"transform(regexp_extract_all(hex({word}), '..', 0), x -> element_at(array({', '.join(map(str, singles))}), cast(conv(x, 16, 10) as int) + 1))")
-    none = F.lit(2**31 - 1)
+    folded = F.transform(source, lambda word: F.array_remove(F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start(word), step), -1))
+    return words.withColumn(out, folded)
 
-    def rank(left: Column, right: Column) -> Column:
-        bucket = (left.cast("long") * 40503 + right.cast("long") * 30011) % BUCKETS
-        return F.coalesce(F.try_element_at(F.get(table, bucket.cast("int")), (left.cast("long") * F.lit(1 << 32) + right.cast("long")).cast("string")), none)
 
-    def step(ids: Column, _: Column) -> Column:
-        # the pairs' ranks, and the first of the lowest; a one-element array binds it once
-        pairs = F.zip_with(F.slice(ids, 1, F.size(ids) - 1), F.slice(ids, 2, F.size(ids) - 1), rank)
-        best = F.transform(F.array(pairs), lambda p: F.struct(F.array_min(p).alias("rank"), F.array_position(p, F.array_min(p)).cast("int").alias("at")))
-        merged = F.transform(best, lambda b: F.when(b["rank"] == none, F.array_append(ids, F.lit(-1))).otherwise(F.concat(F.slice(ids, F.lit(1), b["at"] - 1), F.array(b["rank"]), F.slice(ids, b["at"] + 2, F.size(ids)))))
-        return F.when((F.size(ids) < 2) | (F.element_at(ids, -1) == -1), ids).otherwise(merged[0])  # a last -1: no pair is left
+def _packed(words: list[bytes]) -> bytes:
+    """Words with their lengths, compressed."""
+    lengths = np.fromiter(map(len, words), "<u2", len(words)).tobytes()
+    return zstandard.compress(len(words).to_bytes(4, "little") + lengths + b"".join(words), 3)
 
-    folded = F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), F.col("__start"), step)
-    return words.withColumn("__start", start).withColumn("ids", F.array_remove(folded, -1)).drop("__start")
 
+def _unpacked(blob: bytes) -> list[bytes]:
+    raw = zstandard.decompress(blob)
+    n = int.from_bytes(raw[:4], "little")
+    ends = (np.cumsum(np.frombuffer(raw, "<u2", n, 4), dtype=np.int64) + 4 + 2 * n).tolist()
+    return [raw[a:b] for a, b in zip([4 + 2 * n, *ends[:-1]], ends)]
 
-def _distinct(pattern: str, longest: int):
-    """For each group of rows: its distinct words, but for overlong ones."""
+
+def _distinct(pattern: str, longest: int, buckets: int):
+    """For each group of rows: its distinct words, but for overlong ones, dealt into buckets by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
         now, units = None, set()
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            words = {w for u in units for w in find(u)}
-            rows = [b for b in map(str.encode, words) if len(b) <= longest]
-            for at in range(0, len(rows), 100_000):
-                part = rows[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([now] * len(part), pa.int64()), pa.array(part, pa.binary())], names=["part", "word"])
+        def flush() -> pa.RecordBatch:
+            dealt: dict[int, list[bytes]] = {}
+            for word in {w for u in units for w in find(u)}:
+                if len(raw := word.encode()) <= longest:
+                    dealt.setdefault(zlib.crc32(raw) % buckets, []).append(raw)
+            return pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int64()), pa.array([now] * len(dealt), pa.int64()), pa.array([_packed(sorted(x)) for x in dealt.values()], pa.binary())], names=["bucket", "part", "blob"])
 
         for batch in batches:
             for group, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if group != now:
                     if units:
-                        yield from flush()
+                        yield flush()
                     now, units = group, set()
                 if text := text.as_py():
                     head, rest = spaced(text)
                     units.add(head)
                     units.update([f" {w}" for w in rest])
         if units:
-            yield from flush()
+            yield flush()
 
     return run
 
 
+ROW = "part long, members binary, words array<binary>"
+
+
+def _bucket(tab: pa.Table) -> pa.Table:
+    """A bucket's distinct words, some thousand a row, and then for each group the numbers of its words."""
+    number: dict[bytes, int] = {}
+    members = []
+    for part, blob in zip(tab.column("part").to_pylist(), tab.column("blob")):
+        own = [number.setdefault(w, len(number)) for w in _unpacked(blob.as_py())]
+        members.append((part, np.asarray(own, "<u4").tobytes()))
+    words = list(number)
+    rows = [(-1, b"", words[at : at + 2000]) for at in range(0, len(words), 2000)] + [(p, m, []) for p, m in members]
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.binary())]
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["part", "members", "words"])
+
+
+def _per_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What _bucket made, with the words' ids: for each group its words of the bucket and their ids."""
+    words, codes, ended = [], [], True
+    for batch in batches:
+        parts, blobs = [], []
+        ids = batch.column(3)
+        for k, (part, members) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+            if part < 0:
+                if ended:
+                    words, codes, ended = [], [], False
+                words += batch.column(2)[k].as_py()
+                lists = ids[k].values
+                at = lists.offsets.to_numpy()
+                raw = lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]].astype("<u2").tobytes()
+                at = (at - at[0]).tolist()
+                codes += [raw[2 * a : 2 * b] for a, b in zip(at[:-1], at[1:])]
+            else:
+                ended = True
+                own = np.frombuffer(members.as_py(), "<u4").tolist()
+                parts.append(part)
+                blobs.append(_packed([words[i] for i in own] + [codes[i] for i in own]))
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+
 def _joined(pattern: str, path: str, longest: int):
     """One group: its texts and its words with their ids."""
 
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, blobs: pa.Table) -> pa.Table:
         ranks = read_ranks(path)
         pieces = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             pieces[rank] = token
         find, library = regex.compile(pattern).findall, None
-        ids = words.column("ids").combine_chunks() if words.num_rows else pa.array([], pa.list_(pa.int32()))
-        ids = ids if isinstance(ids, pa.Array) else ids.chunk(0)
-        flat, at = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-        raw = flat.tobytes()
-        known = {w.decode(): raw[4 * a : 4 * b] for w, a, b in zip(words.column("word").to_pylist(), at[:-1].tolist(), at[1:].tolist())}
+        known: dict[str, bytes] = {}
+        for blob in blobs.column("blob"):
+            both = _unpacked(blob.as_py())
+            half = len(both) // 2
+            known.update((w.decode(), c) for w, c in zip(both[:half], both[half:]))
         units: dict[str, tuple[bytes, bytes]] = {}
 
         def learn(unit: str) -> tuple[bytes, bytes]:
             nonlocal library
             found = []
             for w in find(unit):
-                got = known.get(w)
-                if got is None:  # overlong
+                if len(w) > longest or len(w.encode()) > longest:
                     if library is None:
                         import tiktoken
 
                         library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-                    got = np.asarray(library.encode_ordinary(w) if len(w.encode()) > longest else [], "<u4").tobytes()
-                found.append(got)
-            joined = b"".join(found)
-            out = joined, b"".join([pieces[i] for i in np.frombuffer(joined, "<u4").tolist()])
-            units[unit] = out
+                    found.append(np.asarray(library.encode_ordinary(w), "<u2").tobytes())
+                else:
+                    found.append(known[w])
+            code = np.frombuffer(b"".join(found), "<u2")
+            out = units[unit] = code.astype("<u4").tobytes(), b"".join([pieces[i] for i in code.tolist()])
             return out
 
         rows = []
         for doc, text in zip(docs.column("doc_id").to_pylist(), docs.column("text")):
-            text = text.as_py() or ""
+            text = text.as_py()
             head, rest = spaced(text) if text else ("", [])
             own = [units.get(u) or learn(u) for u in [head, *[f" {w}" for w in rest]]] if text else []
             code = b"".join([x for x, _ in own])
@@ -147,10 +224,17 @@ def _joined(pattern: str, path: str, longest: int):
 
 def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", group_bytes: int = 24 << 20, longest: int = 64) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; path: the rank file, where every executor finds it."""
+    ranks = read_ranks(path)
+    if max(ranks.values()) > 0xFFFF:
+        raise ValueError("ids above 65535 need wider slots")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    mean = rows.agg(F.avg(F.octet_length("text"))).first()[0] or 1
-    rows = rows.withColumn("part", F.expr(f"rid div {max(64, int(group_bytes / max(1, mean)))}")).drop("rid")
-    groups = materialize(rows.select("part", "text").mapInArrow(_distinct(pattern, longest), "part long, word binary"), "words")
-    words = encode_words(groups.select("word").distinct(), read_ranks(path))
-    own = groups.join(words, "word")
+    size = rows.agg(F.sum(F.octet_length("text")).alias("all"), F.avg(F.octet_length("text")).alias("mean")).first()
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total, mean = size["all"] or 1, max(1, size["mean"] or 1)
+    group = min(group_bytes, max(1 << 20, total / tasks))
+    buckets = max(4 * tasks, int(total // (8 << 20)))
+    rows = rows.withColumn("part", F.expr(f"rid div {max(16, int(group / mean))}")).drop("rid")
+    dealt = rows.select("part", "text").mapInArrow(_distinct(pattern, longest, buckets), "bucket long, part long, blob binary")
+    words = encode_words(dealt.groupBy("bucket").applyInArrow(_bucket, ROW), ranks)
+    own = words.mapInArrow(_per_group, "part long, blob binary")
     return rows.groupBy("part").cogroup(own.groupBy("part")).applyInArrow(_joined(pattern, path, longest), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

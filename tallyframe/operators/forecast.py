@@ -68,7 +68,7 @@ def forecast_by_series(train: DataFrame, valid: DataFrame, fit: Callable[[np.nda
 
     def run(known: pd.DataFrame, ahead: pd.DataFrame) -> pd.DataFrame:
         ahead = ahead.sort_values("date")
-        y = known.sort_values("date")[target].to_numpy(float)
+        y = known.sort_values("k_date")["y"].to_numpy(float)
         if not len(y):
             return ahead[[SERIES, "date"]].assign(forecast=0.0)
         try:
@@ -80,7 +80,9 @@ def forecast_by_series(train: DataFrame, valid: DataFrame, fit: Callable[[np.nda
             out = np.full(len(ahead), y[-1])
         return ahead[[SERIES, "date"]].assign(forecast=out)
 
-    found = train.select(SERIES, "date", target).groupBy(SERIES).cogroup(valid.select(SERIES, "date").groupBy(SERIES)).applyInPandas(run, f"{SERIES} string, date date, forecast double")
+    # names of their own: both sides often come from one panel
+    past = train.select(F.col(SERIES).alias("k_series"), F.col("date").alias("k_date"), F.col(target).alias("y")).groupBy("k_series")
+    found = past.cogroup(valid.select(F.col(SERIES).alias(SERIES), F.col("date").alias("date")).groupBy(SERIES)).applyInPandas(run, f"{SERIES} string, date date, forecast double")
     return valid.join(found, [SERIES, "date"], "left")
 
 

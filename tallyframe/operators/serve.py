@@ -70,7 +70,8 @@ def target_rows(history: DataFrame, grain: str, series: str, date: dt.date, over
         "has_event": int(overrides.get("event_name_1") is not None), "has_event_2": int(overrides.get("event_name_2") is not None),
         "year": date.year, "month": date.month, "day": date.day, "dayofweek": iso.weekday, "weekofyear": iso.week, "is_weekend": int(iso.weekday >= 6),
     }
-    row = history.sparkSession.createDataFrame([tuple(values[c] for c in history.columns)], history.schema)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in history.schema)  # without the panel's not-null marks
+    row = history.sparkSession.createDataFrame([tuple(values[c] for c in history.columns)], schema)
     return features(history.unionByName(row), grain).where((F.col("series_id") == series) & (F.col("date") == F.lit(date)))
 
 

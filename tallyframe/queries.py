@@ -467,3 +467,5 @@ def featured_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 def featured_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 113 columns."""
     return features.featured(_dense(spark, sf_dir, "state_cat", "weekly"), "weekly")
+
+from tallyframe import queries_forecast as _more  # noqa: E402, F401  registers the queries of splits, forecasts and models

@@ -144,9 +144,9 @@ def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """The documents that stay, with all their columns. Rows that cannot be repeated are not shuffled."""
     digests, _, probe = _marked(docs, doc_id, text, max_bits)
     again = digests.where(probe("key")).select("rid", "doc_id", "size", "sha")
-    stay = materialize(_winners(again).select("keep_rid"), "winners")
+    stay = materialize(_winners(again).select(F.col("keep_rid").alias("__keep")), "winners")
     ours = ["__rid", "__again"]
     tagged = docs.withColumn(ours[0], F.monotonically_increasing_id()).withColumn(ours[1], probe(F.xxhash64(F.unhex(F.sha2(normalized(text), 256)))))
     once = tagged.where(~F.col(ours[1]))
-    rest = tagged.where(F.col(ours[1])).join(stay, F.col(ours[0]) == F.col("keep_rid"), "left_semi")
+    rest = tagged.where(F.col(ours[1])).join(stay, F.col(ours[0]) == F.col("__keep"), "left_semi")
     return once.unionByName(rest).drop(*ours)

@@ -213,3 +213,18 @@ def feature_importance(model: PipelineModel, features: list[str], categories: li
     order = [c for c in categories if c in features] + [c for c in features if c not in categories]
     values = model.stages[-1].featureImportances.toArray()
     return dict(sorted(zip(order, map(float, values)), key=lambda x: (-x[1], x[0])))
+
+
+def tabular_inputs(train: DataFrame, df: DataFrame, numbers: list[str], categories: list[str], target: str = "sales") -> DataFrame:
+    """df as an embedding network reads it: each category's place in train's sorted values (0 if unknown), numbers with train's median
+    for gaps and train's mean and deviation taken out, and the logarithm of the target. A missing category is a value of its own.
+
+    Each column's values in train are one short array, so the places are a lookup and not a join.
+    """
+    word = {c: F.coalesce(F.col(c), F.lit("__MISSING__")) for c in categories}
+    stats = train.agg(*(F.median(c).alias(f"{c}__m") for c in numbers), *(F.sort_array(F.collect_set(word[c])).alias(f"{c}__v") for c in categories))
+    filled = train.join(F.broadcast(stats)).agg(*(f(F.coalesce(F.col(c), F.col(f"{c}__m"))).alias(f"{c}__{n}") for c in numbers for n, f in (("a", F.avg), ("d", F.stddev_pop))))
+    rows = df.join(F.broadcast(stats)).join(F.broadcast(filled))  # one row each
+    codes = [F.array_position(f"{c}__v", word[c]).cast("int").alias(c) for c in categories]
+    scaled = [F.coalesce(F.try_divide(F.coalesce(F.col(c), F.col(f"{c}__m")) - F.col(f"{c}__a"), F.col(f"{c}__d")), F.lit(0.0)).alias(c) for c in numbers]
+    return rows.select("series_id", "date", *codes, *scaled, F.log1p(F.greatest(target, F.lit(0.0))).alias("target"))

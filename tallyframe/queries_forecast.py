@@ -399,3 +399,51 @@ def build_target_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = _dense(spark, sf_dir, "cat", "weekly")
     last = panel.orderBy(F.desc("date"), "series_id").first()
     return serve.target_rows(panel, "weekly", last.series_id, last.date + dt.timedelta(days=7), {"avg_sell_price": 1500.0}, features.featured)
+
+
+_NN = ("avg_sell_price", "price_vs_mean")
+_NN_SQL = f"""med AS (SELECT {', '.join(f'MEDIAN({c}) AS {c}_m' for c in _NN)} FROM train), fil AS (SELECT {', '.join(f'COALESCE({c}, {c}_m) AS {c}' for c in _NN)} FROM train, med),
+mom AS (SELECT {', '.join(f'AVG({c}) AS {c}_a, STDDEV_POP({c}) AS {c}_d' for c in _NN)} FROM fil),
+ev AS (SELECT v, ROW_NUMBER() OVER (ORDER BY v) AS k FROM (SELECT DISTINCT COALESCE(event_name_1, '__MISSING__') AS v FROM train))"""
+
+
+@register("nn_preprocess", on_split(f"SELECT series_id, date, {o.i('COALESCE(k, 0)', 'event_name_1')}, " + ", ".join(o.r(f"COALESCE((COALESCE({c}, {c}_m) - {c}_a) / NULLIF({c}_d, 0), 0)", 4, c) for c in _NN) + f", {o.r('LN(1 + GREATEST(sales, 0))', 4, 'target')} FROM valid CROSS JOIN med CROSS JOIN mom LEFT JOIN ev ON COALESCE(event_name_1, '__MISSING__') = v", _NN_SQL))
+def nn_preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, s = _split(spark, sf_dir)
+    return rounded(learn.tabular_inputs(s.train(df), s.valid(df), list(_NN), ["event_name_1"]))
+
+
+@register("clip_closed_pred", on_split(f"SELECT series_id, date, {o.r('CASE WHEN is_store_closed = 1 THEN 0 ELSE COALESCE(m, 0) END', 4, 'forecast')} FROM valid LEFT JOIN (SELECT series_id, AVG(sales) AS m FROM train GROUP BY 1) USING (series_id)"))
+def clip_closed_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, s = _split(spark, sf_dir)
+    return rounded(metrics.clip_closed(forecast.historical_mean(s.train(df), s.valid(df))).select(*K, "forecast"))
+
+
+@register("melt", f"WITH {_RESULTS} SELECT model, level, grain, 'wape' AS metric, {o.r('wape', 6, 'value')} FROM res UNION ALL SELECT model, level, grain, 'wrmsse', {o.r('wrmsse', 6, 'value')} FROM res")
+def melt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _results(spark, sf_dir).unpivot(["model", "level", "grain"], ["wape", "wrmsse"], "metric", "value")
+    return rounded(rows, 6)
+
+
+@register("str_split_expand", "SELECT p_type || '_' || p_brand AS both, p_type AS a, p_brand AS b, CAST(COUNT(*) AS BIGINT) AS n FROM part GROUP BY ALL")
+def str_split_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type has no underscore: the first part is the type, the last the brand."""
+    both = star.read(spark, sf_dir, "part").select(F.concat_ws("_", "p_type", "p_brand").alias("both"))
+    return both.groupBy("both").agg(F.count("*").alias("n")).select("both", F.split("both", "_")[0].alias("a"), F.element_at(F.split("both", "_"), -1).alias("b"), "n")
+
+
+@register("downcast", f"WITH {o.STAR}, {o.sparse('cat', 'weekly')} SELECT series_id, first AS date, CAST(CAST(ROUND(sales, 0) AS FLOAT) AS DOUBLE) AS sales FROM base")
+def downcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = plans.aggregate(star.joined(spark, sf_dir), plans.BY_NAME["cat"], "weekly").select(*K, "sales")
+    return features.downcast(rows).withColumn("sales", F.round("sales").cast("double"))
+
+
+@register("all_series_metrics", on_split("SELECT model, series_id, " + o.r("SUM(ABS(sales - g)) / NULLIF(SUM(ABS(sales)), 0)", 4, "wape") + ", " + o.r("SUM(g - sales) / NULLIF(SUM(ABS(sales)), 0)", 4, "bias") + " FROM (SELECT 'seasonal_naive_7' AS model, series_id, sales, f AS g FROM fc UNION ALL SELECT 'historical_mean', t.series_id, sales, CASE WHEN is_store_closed = 1 THEN 0 ELSE m END FROM test t JOIN (SELECT series_id, AVG(sales) AS m FROM known GROUP BY 1) USING (series_id)) GROUP BY ALL", _EVAL))
+def all_series_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One grouped sum over all models' rows."""
+    df, s = _split(spark, sf_dir)
+    known, test = df.where(F.col("date") < F.lit(s.test_start)), s.test(df)
+    runs = {"seasonal_naive_7": forecast.seasonal_naive(known, test, 7), "historical_mean": forecast.historical_mean(known, test)}
+    rows = functools.reduce(DataFrame.unionByName, (metrics.clip_closed(x).select(F.lit(k).alias("model"), "series_id", "sales", "forecast") for k, x in runs.items()))
+    measures = metrics.point()
+    return rounded(rows.groupBy("model", "series_id").agg(measures["wape"].alias("wape"), measures["bias"].alias("bias")))

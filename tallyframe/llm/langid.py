@@ -107,26 +107,21 @@ def fit(labelled: DataFrame | None = None, text: str = "text", label: str = "lan
 
 def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = list(np.ascontiguousarray(model.weights.T))
         for batch in batches:
             out = []
             for text in batch.column(batch.num_columns - 1):
                 own = trigrams((text.as_py() or "").encode())
-                total, n = np.zeros(len(model.languages) + 1), 0
+                total, n = np.zeros(len(columns)), int((own != BUCKETS).sum())
                 for at in range(0, len(own), 1 << 18):
                     part = own[at : at + (1 << 18)]
-                    times = np.bincount(part, minlength=BUCKETS + 1) if len(part) > BUCKETS // 4 else None
-                    total += model.weights[part].sum(axis=0, dtype=np.float64) if times is None else times @ model.weights
-                    n += int((part != BUCKETS).sum())
+                    total += [c.take(part).sum(dtype=np.float64) for c in columns]
                 out.append((total * min(1, EVIDENCE / n) if n else total).round(6).tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "loglik"])
 
     return run
 
 
-def _softmax(logs: str) -> Column:
-    return F.expr(f"transform(transform({logs}, x -> exp(x - array_max({logs}))), (e, i) -> e / aggregate(transform({logs}, x -> exp(x - array_max({logs}))), 0D, (s, x) -> s + x))")
-
-
 def identify(rows: DataFrame, model: Model, key: str, text: Column, declared: Column, suffix: Column, host: Column, domain: Column, least: float = 0.5) -> DataFrame:
     """key, rid, lang, confidence, text_lang of every row. rid is the row's number (monotonically_increasing_id of rows)."""
     names = [*model.languages, UND]
@@ -136,20 +131,21 @@ def identify(rows: DataFrame, model: Model, key: str, text: Column, declared: Co
     base = rows.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), primary.alias("declared"), clean(suffix).alias("suffix"), clean(host).alias("host"), clean(domain).alias("domain"), text.cast("string").alias("text"))
     kind = rows.schema[key].dataType.simpleString()
     scored = base.mapInArrow(_scored(model), f"rid long, key {kind}, declared string, suffix string, host string, domain string, loglik array<double>")
-    seen = scored.withColumn("p", _softmax("loglik"))
+    # a column for each language from here on: plain arithmetic, which is compiled, where array functions are interpreted
+    each = range(width)
+    scored = scored.withColumn("top", F.array_max("loglik")).withColumns({f"e{k}": F.exp(F.col("loglik")[k] - F.col("top")) for k in each})
+    total_e = sum((F.col(f"e{k}") for k in each), F.lit(0.0))
+    seen = scored.withColumns({f"p{k}": F.col(f"e{k}") / total_e for k in each} | {f"l{k}": F.col("loglik")[k] for k in each}).drop("top", "loglik", *(f"e{k}" for k in each))
     seen = materialize(seen, "likelihoods")
 
-    sums = [F.sum(F.col("p")[k]).alias(f"s{k}") for k in range(width)]
-    mass = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("n"), F.array(*sums).alias("s"))
+    mass = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("n"), F.array(*(F.sum(f"p{k}") for k in each)).alias("s"))
     total = mass(seen).collect()[0]
     n = total["n"]
     if not n:
         return seen.select("key", "rid", F.lit(UND).alias("lang"), F.lit(0.0).alias("confidence"), F.lit(UND).alias("text_lang"))
     overall = [((x or 0.0) + 1) / (n + width) for x in total["s"]]
-    prior = "array(" + ", ".join(f"{x!r}D" for x in overall) + ")"
-    everyone = "array(" + ", ".join(f"{x or 0.0!r}D" for x in total["s"]) + ")"
     hosts = materialize(mass(seen, "host", "domain"), "hosts")
-    domains = hosts.groupBy("domain").agg(F.sum("n").alias("dn"), F.array(*(F.sum(F.col("s")[k]) for k in range(width))).alias("ds"))
+    domains = hosts.groupBy("domain").agg(F.sum("n").alias("dn"), F.array(*(F.sum(F.col("s")[k]) for k in each)).alias("ds"))
     hosts = materialize(hosts.join(domains, "domain"), "hosts")
     # what a value tells of a language is judged without the row itself; the sums are tables of their own, so that the
     # joins below read two shuffles each and AQE can split a value that many rows share
@@ -157,19 +153,34 @@ def identify(rows: DataFrame, model: Model, key: str, text: Column, declared: Co
         table = materialize(mass(seen, what).select(F.col(what).alias(f"{what}_v"), F.col("s").alias(f"{what}_s")), what)
         seen = seen.join(table, F.col(what) == F.col(f"{what}_v"))
         values = max(2, table.count())
-        seen = seen.withColumn(f"{what}_log", F.expr(f"transform(p, (x, i) -> ln((greatest({what}_s[i] - x, 0D) + 0.5D) / (greatest({everyone}[i] - x, 0D) + {0.5 * values}D)))"))
+        # the share of a language's other rows that have this value
+        own = {k: F.greatest(F.col(f"{what}_s")[k] - F.col(f"p{k}"), F.lit(0.0)) + 0.5 for k in each}
+        seen = seen.withColumns({f"l{k}": F.col(f"l{k}") + F.ln(own[k] / (F.greatest(F.lit(total["s"][k] or 0.0) - F.col(f"p{k}"), F.lit(0.0)) + 0.5 * values)) for k in each})
     h = hosts.select(F.col("host").alias("h"), F.col("domain").alias("d"), F.col("n").alias("hn"), F.col("s").alias("hs"), "dn", "ds")
     seen = seen.join(h, (F.col("host") == F.col("h")) & (F.col("domain") == F.col("d")))
-    parent = f"(greatest(ds[i] - x, 0D) + {STRENGTH}D * {prior}[i]) / (dn - 1 + {STRENGTH}D)"
-    seen = seen.withColumn("prior", F.expr(f"transform(p, (x, i) -> ln((greatest(hs[i] - x, 0D) + {STRENGTH}D * {parent}) / (hn - 1 + {STRENGTH}D)))"))
-    seen = seen.withColumn("logs", F.expr("transform(loglik, (x, i) -> x + prior[i] + declared_log[i] + suffix_log[i])"))
-    seen = seen.withColumn("post", _softmax("logs"))
-    at = "cast(array_position({0}, array_max({0})) as int)"
-    of = "array(" + ", ".join(f"'{x}'" for x in names) + ")"
-    nothing = "(forall(loglik, x -> x = 0D) and declared = '' and host = '')"
-    lang = F.expr(f"if({nothing} or array_max(post) < {least}D, '{UND}', element_at({of}, {at.format('post')}))")
-    told = F.expr(f"if(forall(loglik, x -> x = 0D), '{UND}', element_at({of}, {at.format('loglik')}))")
-    return seen.select("key", "rid", lang.alias("lang"), F.round(F.array_max("post"), 6).alias("confidence"), told.alias("text_lang"))
+
+    def prior(k: int) -> Column:
+        """The host's other rows, drawn to the domain's, which are drawn to all."""
+        parent = (F.greatest(F.col("ds")[k] - F.col(f"p{k}"), F.lit(0.0)) + STRENGTH * overall[k]) / (F.col("dn") - 1 + STRENGTH)
+        return F.ln((F.greatest(F.col("hs")[k] - F.col(f"p{k}"), F.lit(0.0)) + STRENGTH * parent) / (F.col("hn") - 1 + STRENGTH))
+
+    seen = seen.withColumns({f"post{k}": F.col(f"l{k}") + prior(k) for k in each})
+    seen = seen.withColumn("best", F.greatest(*(F.col(f"post{k}") for k in each)))
+    confidence = 1 / sum((F.exp(F.col(f"post{k}") - F.col("best")) for k in each), F.lit(0.0))
+    seen = seen.withColumn("confidence", F.round(confidence, 6))
+
+    def first(values: str, top: Column) -> Column:
+        out = F.lit(UND)
+        for k in reversed(each):
+            out = F.when(F.col(f"{values}{k}") == top, F.lit(names[k])).otherwise(out)
+        return out
+
+    # without a trigram all likelihoods are equal
+    blank = F.greatest(*(F.col(f"p{k}") for k in each)) == F.least(*(F.col(f"p{k}") for k in each))
+    nothing = blank & (F.col("declared") == "") & (F.col("host") == "")
+    lang = F.when(nothing | (F.col("confidence") < least), F.lit(UND)).otherwise(first("post", F.col("best")))
+    told = F.when(blank, F.lit(UND)).otherwise(first("p", F.greatest(*(F.col(f"p{k}") for k in each))))
+    return seen.select("key", "rid", lang.alias("lang"), "confidence", told.alias("text_lang"))
 
 
 #: The part of a page that is read: no scripts, styles, comments or tags.

@@ -57,7 +57,7 @@ class Encoder:
     the tokenizer's model, after what the tokenizer's own pattern would split it into; any other piece goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, pattern: str, pieces: int = 500_000, longest: int = 40):
+    def __init__(self, path: str, pattern: str, pieces: int = 650_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

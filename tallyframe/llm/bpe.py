@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.tokens import spaced
+from tallyframe.llm.tokens import MARKS, spaced
 
 NONE = 2**31 - 1
 
@@ -94,6 +94,15 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], source: str = "words
     return words.withColumn(out, folded)
 
 
+def _matches(find: Callable[[str], list[str]], word: str) -> list[str]:
+    """The pattern's matches in a word after its space; most words are letters, or letters and a mark, and need no search."""
+    if word.isalpha():
+        return [f" {word}"]
+    if word and word[-1] in MARKS and word[:-1].isalpha():
+        return [f" {word[:-1]}", word[-1]]
+    return find(f" {word}")
+
+
 def _packed(words: list[bytes]) -> bytes:
     """Words with their lengths, compressed."""
     lengths = np.fromiter(map(len, words), "<u2", len(words)).tobytes()
@@ -112,26 +121,27 @@ def _distinct(pattern: str, longest: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        now, units = None, set()
+        now, heads, words = None, set(), set()
 
         def flush() -> pa.RecordBatch:
+            found = {m for h in heads for m in find(h)}.union(*(_matches(find, w) for w in words))
             dealt: dict[int, list[bytes]] = {}
-            for word in {w for u in units for w in find(u)}:
-                if len(raw := word.encode()) <= longest:
+            for raw in map(str.encode, found):
+                if len(raw) <= longest:
                     dealt.setdefault(zlib.crc32(raw) % buckets, []).append(raw)
             return pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int64()), pa.array([now] * len(dealt), pa.int64()), pa.array([_packed(sorted(x)) for x in dealt.values()], pa.binary())], names=["bucket", "part", "blob"])
 
         for batch in batches:
             for group, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if group != now:
-                    if units:
+                    if heads:
                         yield flush()
-                    now, units = group, set()
+                    now, heads, words = group, set(), set()
                 if text := text.as_py():
                     head, rest = spaced(text)
-                    units.add(head)
-                    units.update([f" {w}" for w in rest])
-        if units:
+                    heads.add(head)
+                    words.update(rest)
+        if heads:
             yield flush()
 
     return run
@@ -177,26 +187,68 @@ def _per_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
 
+def _folded(most: int = 4 << 20):
+    """Texts of a group, some megabytes at a time, as compressed Arrow streams: they take less room in the shuffle."""
+
+    def fold(rows: pa.RecordBatch) -> bytes:
+        sink, options = pa.BufferOutputStream(), pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=1))
+        with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+            out.write_batch(rows)
+        return sink.getvalue().to_pybytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+            for a, b in zip(cuts, [*cuts[1:], len(part)]):
+                step = max(1, int((b - a) * most / max(most, batch.slice(a, b - a).nbytes)))
+                for at in range(a, b, step):
+                    rows = batch.slice(at, min(step, b - at)).select(["doc_id", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array([part[a]], pa.int64()), pa.array([fold(rows)], pa.binary())], names=["part", "blob"])
+
+    return run
+
+
+class _Decoder:
+    """Concatenates the byte pieces of ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        ordered = sorted(ranks.items(), key=lambda x: x[1])
+        self.flat = np.frombuffer(b"".join(t for t, _ in ordered), np.uint8)
+        for token, rank in ordered:
+            self.sizes[rank] = len(token)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def __call__(self, texts: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each of some texts' ids, all at once."""
+        ids = np.concatenate(texts) if texts else np.zeros(0, np.int64)
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        raw = self.flat[np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(total)].tobytes()
+        last = np.r_[0, ends][np.cumsum([0, *map(len, texts)])].tolist()
+        return [raw[a:b] for a, b in zip(last[:-1], last[1:])]
+
+
 def _joined(pattern: str, path: str, longest: int):
     """One group: its texts and its words with their ids."""
 
     def run(docs: pa.Table, blobs: pa.Table) -> pa.Table:
         ranks = read_ranks(path)
-        pieces = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            pieces[rank] = token
+        decode = _Decoder(ranks)
         find, library = regex.compile(pattern).findall, None
         known: dict[str, bytes] = {}
         for blob in blobs.column("blob"):
             both = _unpacked(blob.as_py())
             half = len(both) // 2
             known.update((w.decode(), c) for w, c in zip(both[:half], both[half:]))
-        units: dict[str, tuple[bytes, bytes]] = {}
+        units: dict[str, bytes] = {}  # what follows a space -> its ids, 16 bits each
 
-        def learn(unit: str) -> tuple[bytes, bytes]:
+        def encode(matches: list[str]) -> bytes:
             nonlocal library
             found = []
-            for w in find(unit):
+            for w in matches:
                 if len(w) > longest or len(w.encode()) > longest:
                     if library is None:
                         import tiktoken
@@ -205,24 +257,38 @@ def _joined(pattern: str, path: str, longest: int):
                     found.append(np.asarray(library.encode_ordinary(w), "<u2").tobytes())
                 else:
                     found.append(known[w])
-            code = np.frombuffer(b"".join(found), "<u2")
-            out = units[unit] = code.astype("<u4").tobytes(), b"".join([pieces[i] for i in code.tolist()])
-            return out
+            return found[0] if len(found) == 1 else b"".join(found)
+
+        def digests(docs: list, ids: list[np.ndarray]) -> list[tuple]:
+            return [(doc, len(own), hashlib.sha256(own.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest()) for doc, own, raw in zip(docs, ids, decode(ids))]
 
-        rows = []
-        for doc, text in zip(docs.column("doc_id").to_pylist(), docs.column("text")):
-            text = text.as_py()
+        rows, waiting, ids, size = [], [], [], 0
+        folded = (pa.ipc.open_stream(x.as_buffer()).read_all() for x in docs.column("blob"))
+        for doc, text in ((d, t.as_py()) for table in folded for d, t in zip(table.column("doc_id").to_pylist(), table.column("text"))):
             head, rest = spaced(text) if text else ("", [])
-            own = [units.get(u) or learn(u) for u in [head, *[f" {w}" for w in rest]]] if text else []
-            code = b"".join([x for x, _ in own])
-            rows.append((doc, len(code) // 4, hashlib.sha256(code).hexdigest(), hashlib.sha256(b"".join([x for _, x in own])).hexdigest()))
+            codes = list(map(units.get, rest))
+            at = -1
+            for _ in range(codes.count(None)):
+                at = codes.index(None, at + 1)
+                word = rest[at]
+                code = units.get(word)
+                if code is None:
+                    code = units[word] = encode(_matches(find, word))
+                codes[at] = code
+            waiting.append(doc)
+            ids.append(np.frombuffer(b"".join([encode(find(head)), *codes]), "<u2"))
+            size += len(ids[-1])
+            if size > 500_000:
+                rows += digests(waiting, ids)
+                waiting, ids, size = [], [], 0
+        rows += digests(waiting, ids)
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 4, kinds)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", group_bytes: int = 24 << 20, longest: int = 64) -> DataFrame:
+def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", group_bytes: int = 16 << 20, longest: int = 64) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; path: the rank file, where every executor finds it."""
     ranks = read_ranks(path)
     if max(ranks.values()) > 0xFFFF:
@@ -237,4 +303,5 @@ def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
     dealt = rows.select("part", "text").mapInArrow(_distinct(pattern, longest, buckets), "bucket long, part long, blob binary")
     words = encode_words(dealt.groupBy("bucket").applyInArrow(_bucket, ROW), ranks)
     own = words.mapInArrow(_per_group, "part long, blob binary")
-    return rows.groupBy("part").cogroup(own.groupBy("part")).applyInArrow(_joined(pattern, path, longest), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    texts = rows.select("part", "doc_id", "text").mapInArrow(_folded(), "part long, blob binary")
+    return texts.groupBy("part").cogroup(own.groupBy("part")).applyInArrow(_joined(pattern, path, longest), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

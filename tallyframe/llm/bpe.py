@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -124,11 +125,17 @@ def _distinct(pattern: str, longest: int, buckets: int):
         now, heads, words = None, set(), set()
 
         def flush() -> pa.RecordBatch:
-            found = {m for h in heads for m in find(h)}.union(*(_matches(find, w) for w in words))
-            dealt: dict[int, list[bytes]] = {}
+            plain = {w for w in words if w.isalpha()}
+            found = {m for h in heads for m in find(h)}
+            found.update([f" {w}" for w in plain])
+            for w in words - plain:
+                found.update(_matches(find, w))
+            for done in (plain, heads, words):
+                done.clear()
+            dealt: defaultdict[int, list[bytes]] = defaultdict(list)
             for raw in map(str.encode, found):
                 if len(raw) <= longest:
-                    dealt.setdefault(zlib.crc32(raw) % buckets, []).append(raw)
+                    dealt[zlib.crc32(raw) % buckets].append(raw)
             return pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int64()), pa.array([now] * len(dealt), pa.int64()), pa.array([_packed(sorted(x)) for x in dealt.values()], pa.binary())], names=["bucket", "part", "blob"])
 
         for batch in batches:
@@ -238,12 +245,16 @@ def _joined(pattern: str, path: str, longest: int):
         ranks = read_ranks(path)
         decode = _Decoder(ranks)
         find, library = regex.compile(pattern).findall, None
-        known: dict[str, bytes] = {}
+        units: dict[str, bytes] = {}  # what follows a space -> its ids, 16 bits each
+        known: dict[str, bytes] = {}  # matches that don't begin with a space
         for blob in blobs.column("blob"):
             both = _unpacked(blob.as_py())
             half = len(both) // 2
-            known.update((w.decode(), c) for w, c in zip(both[:half], both[half:]))
-        units: dict[str, bytes] = {}  # what follows a space -> its ids, 16 bits each
+            for word, code in zip(map(bytes.decode, both[:half]), both[half:]):
+                if word[0] == " ":
+                    units[word[1:]] = code
+                else:
+                    known[word] = code
 
         def encode(matches: list[str]) -> bytes:
             nonlocal library
@@ -256,7 +267,7 @@ def _joined(pattern: str, path: str, longest: int):
                         library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
                     found.append(np.asarray(library.encode_ordinary(w), "<u2").tobytes())
                 else:
-                    found.append(known[w])
+                    found.append(units[w[1:]] if w[0] == " " else known[w])
             return found[0] if len(found) == 1 else b"".join(found)
 
         def digests(docs: list, ids: list[np.ndarray]) -> list[tuple]:
@@ -282,13 +293,14 @@ def _joined(pattern: str, path: str, longest: int):
                 rows += digests(waiting, ids)
                 waiting, ids, size = [], [], 0
         rows += digests(waiting, ids)
+        pa.default_memory_pool().release_unused()
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 4, kinds)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", group_bytes: int = 16 << 20, longest: int = 64) -> DataFrame:
+def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", group_bytes: int = 12 << 20, longest: int = 64) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; path: the rank file, where every executor finds it."""
     ranks = read_ranks(path)
     if max(ranks.values()) > 0xFFFF:

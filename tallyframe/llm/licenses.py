@@ -2,7 +2,7 @@
 
 A stretch of a text and a template are aligned on the words that are unique in both: their longest increasing subsequence gives the
 anchors, and the gaps between anchors are aligned in the same way until nothing is unique. Coverage is the share of the template's
-words that are aligned.
+words that are aligned. Of a line or notice, the words that name the license and its version must all be aligned.
 
 A template is tried only where it can succeed: its rarest words are so many that a stretch without any of them covers less than
 ``least``. The stretches are windows around those words, so long texts and repeated notices are met in whole.
@@ -36,6 +36,12 @@ and limitations under the License.""",
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
 documentation and/or other materials provided with the distribution.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.""",
     "CC-BY-4.0-line": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
@@ -53,8 +59,24 @@ of the Software.""",
     "MIT-line": "Released under the MIT License.",
     "MPL-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "AGPL-3.0-line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "BSD-line": "Released under the BSD License.",
+    "CC-BY-SA-4.0-line": "Licensed under CC BY-SA 4.0.",
+    "GPL-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1-line": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
 }
 
+#: The GNU notices are worded alike.
+_GNU = {"AGPL-3.0": ("Affero General", "3"), "GPL-2.0": ("General", "2"), "LGPL-2.1": ("Lesser General", "2.1"), "LGPL-3.0": ("Lesser General", "3")}
+TEMPLATES |= {f"{k}-notice": TEMPLATES["GPL-3.0-notice"].replace("GNU General", f"GNU {kind}").replace("version 3", f"version {v}") for k, (kind, v) in _GNU.items()}
+
+#: Words that make another license of one whose words are all there.
+KINDS = frozenset(("affero", "lesser", "library"))
+
+#: Words by which a license differs from its kin: its name and version. The template's own must all be aligned.
+TELLING = frozenset("apache bsd mit isc mpl mozilla gnu general lesser affero library cc by by-nc by-sa by-nd by-nc-sa by-nc-nd 1 1.0 1.1 2 2.0 2.1 2.5 3 3.0 4 4.0".split())
+
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -108,6 +130,8 @@ class Scanner:
     def __init__(self, templates: dict[str, str], least: float = LEAST):
         self.least = least
         self.templates = {k: words(v) for k, v in templates.items()}
+        # only licenses that are named by a line or notice: the numbers in a license's own text are those of its clauses
+        self.telling = {k: {j for j, w in enumerate(v) if w in TELLING} if k.endswith(("-line", "-notice")) else set() for k, v in self.templates.items()}
         self.rare: dict[str, set[str]] = {}
         for name, own in self.templates.items():
             need = len(own) - int(-(-least * len(own) // 1)) + 1  # without so many words, coverage stays below least
@@ -147,7 +171,10 @@ class Scanner:
                 last = begin
                 low = max(0, begin - slack)
                 pairs = align(tokens[low : begin + n + slack], own)
-                if pairs and len(pairs) >= self.least * n:
+                if pairs and len(pairs) >= self.least * n and self.telling[name] <= {j for _, j in pairs}:
+                    met = {low + i for i, _ in pairs}
+                    if any(tokens[i] in KINDS and i not in met for i in range(low + pairs[0][0], low + pairs[-1][0])):
+                        continue
                     best.add((-len(pairs), -len(pairs) / n, low + pairs[0][0], low + pairs[-1][0] + 1, name))
         taken: list[tuple[int, int, str, float]] = []
         for _, c, a, b, name in sorted(best):  # the most words aligned first, then the best coverage

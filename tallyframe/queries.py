@@ -132,6 +132,14 @@ def unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(files.unpivot_days(wide, ("cat_id",)), 2)
 
 
+@register("unpivot_all_days", f"{S}, f AS (SELECT cat_id, d, SUM(sales) AS sales FROM fact JOIN cal USING (date) GROUP BY ALL) SELECT cat_id, d, {o.r('sales', 2)} FROM f")
+def unpivot_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """unpivot, with a column for every day between the fact's first and last date."""
+    days = [r.d for r in star.calendar(spark, sf_dir).select("d").orderBy("date").collect()]
+    wide = star.sales(spark, sf_dir).groupBy("cat_id").pivot("d", days).agg(F.sum("sales"))
+    return rounded(files.unpivot_days(wide, ("cat_id",)), 2)
+
+
 @register("in_filter", o.panel_sql("store_dept", "weekly", "WHERE state_id IN ('ASIA', 'EUROPE') AND cat_id IN (SELECT MIN(p_type) FROM part)"))
 def in_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = star.read(spark, sf_dir, "part").agg(F.min("p_type").alias("t")).first().t

@@ -355,9 +355,8 @@ def ml_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("permutation_importance")
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, valid, _, _, names, categories = _model_frames(spark, sf_dir)
-    few = [n for n in names if n in ("dayofweek", "lag28", "rolling_mean_lag28_window_size28", "cat_id")]
-    model = learn.fit(train, few, categories, "ridge")
-    found = learn.permutation_importance(model, valid, few, categories, rows=PROFILES["fast"].permutation_rows, repeats=1)
+    model = learn.fit(train, names, categories, "gbt")  # a family that sees the categories
+    found = learn.permutation_importance(model, valid, names, categories)
     return spark.createDataFrame(list(found.items()), "feature string, importance double")
 
 
@@ -365,10 +364,11 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def backward_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of attempts with a linear model."""
     train, valid, _, _, names, categories = _model_frames(spark, sf_dir)
-    names = [n for n in names if n not in categories][:8]
+    names = [n for n in names if n not in categories]  # a linear model sees no categories
     train, valid = train.cache(), valid.cache()
     evaluate = lambda chosen: learn.score(learn.predict(learn.fit(train, chosen, [], "ridge"), valid, chosen, []))
-    _, _, log = learn.eliminate(names, {n: float(k) for k, n in enumerate(reversed(names))}, evaluate, 0.02, 4)
+    importance = learn.permutation_importance(learn.fit(train, names, [], "ridge"), valid, names, [])
+    _, _, log = learn.eliminate(names, importance, evaluate, 0.02, 4)
     train.unpersist(), valid.unpersist()
     return spark.createDataFrame([(r["n_features"], r["score"], r["removed"], r["n_removed"], r["accepted"]) for r in log], "n_features int, score double, removed string, n_removed int, accepted boolean")
 

@@ -8,7 +8,7 @@ domain's, and that towards the corpus's. Each row's own part is taken out of the
 The hypothesis UND stands for text in no known language: its trigrams are equally likely. A text is rejected if UND wins or if no
 language reaches ``least`` of the posterior.
 
-The trigram model is fitted on a bounded sample of labelled rows (``per_language`` of each, by hash) and on a few words of each
+The trigram model is fitted on a bounded sample of labelled rows (``per_language`` of each label, by hash of text and row) and on a few words of each
 language, so that it exists without labels too.
 
 Defined cases: a null text counts as empty; without a trigram only the other evidence counts; a text without any evidence is UND.
@@ -31,7 +31,8 @@ from tallyframe.llm.common import materialize
 UND = "und"
 BUCKETS = 1 << 16
 PER_LANGUAGE = 1000
-MOST_LANGUAGES = 64
+#: Labels that a task counts at once; the sums of more go out in parts.
+HELD = 64
 SMOOTH = 0.05
 #: Trigrams of a text that count in full; neighbours overlap, so a long text is not worth its length.
 EVIDENCE = 100
@@ -70,14 +71,21 @@ class Model:
     weights: np.ndarray
 
 
+def _parts(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for label, own in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([label]), pa.array([own.astype("<i8").tobytes()], pa.binary())], names=["label", "counts"])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             own = np.bincount(trigrams((text.as_py() or "").encode()), minlength=BUCKETS + 1)[:BUCKETS]
             sums[label] = sums.get(label, 0) + own
-    for label, own in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([label]), pa.array([own.astype("<i8").tobytes()], pa.binary())], names=["label", "counts"])
+            if len(sums) > HELD:
+                yield from _parts(sums)
+                sums = {}
+    yield from _parts(sums)
 
 
 def _summed(tab: pa.Table) -> pa.Table:
@@ -86,14 +94,16 @@ def _summed(tab: pa.Table) -> pa.Table:
 
 
 def fit(labelled: DataFrame | None = None, text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """A model from a sample of about ``per_language`` rows of each label; at most MOST_LANGUAGES labels, the most frequent."""
+    """A model from a sample of about ``per_language`` rows of each label, all labels."""
     counts = {k: np.bincount(trigrams(v.encode()), minlength=BUCKETS + 1)[:BUCKETS].astype(np.float64) for k, v in SEEDS.items()}
     if labelled is not None:
         rows = labelled.select(F.col(label).alias("label"), F.col(text).alias("text")).where(f"label is not null and label != '{UND}'")
-        sizes = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES).collect()
+        sizes = rows.groupBy("label").count().collect()
         share = F.create_map(*(F.lit(x) for r in sizes for x in (r["label"], per_language / r["count"]))) if sizes else None
         if sizes:
-            chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.try_element_at(share, F.col("label")) * 1_000_000)
+            # with the row's number, so that rows of one text are chosen apart
+            numbered = rows.withColumn("rid", F.monotonically_increasing_id())
+            chosen = numbered.where(F.pmod(F.xxhash64("text", "rid"), F.lit(1_000_000)) < F.try_element_at(share, F.col("label")) * 1_000_000).select("label", "text")
             for r in chosen.mapInArrow(_counted, "label string, counts binary").groupBy("label").applyInArrow(_summed, "label string, counts binary").collect():
                 counts[r.label] = counts.get(r.label, 0) + np.frombuffer(r.counts, "<i8").astype(np.float64)
     names = tuple(sorted(counts))
@@ -170,10 +180,7 @@ def identify(rows: DataFrame, model: Model, key: str, text: Column, declared: Co
     seen = seen.withColumn("confidence", F.round(confidence, 6))
 
     def first(values: str, top: Column) -> Column:
-        out = F.lit(UND)
-        for k in reversed(each):
-            out = F.when(F.col(f"{values}{k}") == top, F.lit(names[k])).otherwise(out)
-        return out
+        return F.coalesce(*(F.when(F.col(f"{values}{k}") == top, F.lit(names[k])) for k in each), F.lit(UND))
 
     # without a trigram all likelihoods are equal
     blank = F.greatest(*(F.col(f"p{k}") for k in each)) == F.least(*(F.col(f"p{k}") for k in each))

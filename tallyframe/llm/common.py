@@ -41,6 +41,65 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _is_files(df: DataFrame) -> bool:
+    """Is df nothing but files as they are read?"""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("SubqueryAlias", "View"):
+        plan = plan.child()
+    return plan.nodeName().startswith(("LogicalRelation", "Relation"))
+
+
+def stable(df: DataFrame, what: str) -> DataFrame:
+    """df with partitions that are the same, row by row, in every plan made of the result.
+
+    Those of plain files depend on the files and the session alone. After a shuffle they depend on the sizes that a plan's columns
+    happen to have, and on which task came first; so any other rows are written once.
+    """
+    return df if _is_files(df) else materialize(df, what)
+
+
+def numbered(df: DataFrame, name: str, what: str) -> DataFrame:
+    """df with a row number that stays the same in every plan made of the result."""
+    rows = df.withColumn(name, F.monotonically_increasing_id())
+    return rows if _is_files(df) else materialize(rows, what)
+
+
+def size_of(df: DataFrame) -> int:
+    """The bytes of the files that df reads, as the optimizer knows them without a job; df: numbered() or materialize()."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def parts_for(df: DataFrame, bytes_a_part: int) -> int:
+    """How many partitions a shuffle of df takes for about so many bytes of its files each; the session's number at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size_of(df) // bytes_a_part))
+
+
+def literal(values, kind: str = "bigint") -> Column:
+    """An array of numbers, or of strings without commas, that the optimizer folds to a literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def ranges(keyed: DataFrame, parts: int, at: str, mix: str) -> tuple[Column, list[tuple[int, int]]]:
+    """The range (from 0) of a row by two longs, no two rows the same, and each range's first key; about ``parts`` equal ranges.
+
+    Spark's range partitioner finds them on the two longs alone. The driver sees each range's first key, 16 bytes, and a row finds its
+    range by binary search.
+    """
+    dealt = keyed.select(at, mix).repartitionByRange(parts, at, mix)
+    firsts = sorted(tuple(r.first) for r in dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct(at, mix)).alias("first")).collect())
+    if len(firsts) < 2:
+        return F.lit(0), firsts
+    ats, mixes = literal(f[0] for f in firsts), literal(f[1] for f in firsts)
+
+    def halved(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        upto = (F.get(ats, mid) < F.col(at)) | (F.get(ats, mid) == F.col(at)) & (F.get(mixes, mid) <= F.col(mix))
+        return F.when(s["hi"] - s["lo"] <= 1, s).otherwise(F.struct(F.when(upto, mid).otherwise(s["lo"]).alias("lo"), F.when(upto, s["hi"]).otherwise(mid).alias("hi")))
+
+    steps = F.sequence(F.lit(1), F.lit(len(firsts).bit_length()))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(firsts)).alias("hi")), halved, lambda s: s["lo"]), firsts
+
+
 def text_of(name: str = "text") -> Column:
     """A text column in which null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import ASCII_SPACE, materialize, text_of, with_group
+from tallyframe.llm.common import ASCII_SPACE, materialize, numbered, text_of, with_group
 
+RID = "__dedup_row"
 HASHES = 4
 SEGMENT = 1 << 16
 PER_ROW = 16
@@ -110,18 +111,17 @@ def maybe_repeated(spark, twice: np.ndarray, bits: int):
     return probe
 
 
-def _digests(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _digests(docs: DataFrame, rid: Column, doc_id: str, text: str) -> DataFrame:
     sha = F.unhex(F.sha2(normalized(text), 256))
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.length(text_of(text)).cast("long").alias("size"), sha.alias("sha")).withColumn("key", F.xxhash64("sha"))
+    return docs.select(rid.alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.length(text_of(text)).cast("long").alias("size"), sha.alias("sha")).withColumn("key", F.xxhash64("sha"))
 
 
-def _marked(docs: DataFrame, doc_id: str, text: str, max_bits: int) -> tuple[DataFrame, int, object]:
-    """The digests, kept in the shared folder, with a flag for rows that may be repeated."""
-    digests = materialize(_digests(docs, doc_id, text), "digests")
+def _marked(digests: DataFrame, max_bits: int) -> tuple[DataFrame, int, object]:
+    """The digests, kept in the shared folder, their number, and a flag for rows that may be repeated."""
+    digests = materialize(digests, "digests")
     n = digests.count()
     twice, bits = repeated_filter(digests.select("key"), n, max_bits)
-    probe = maybe_repeated(docs.sparkSession, twice, bits)
-    return digests, n, probe
+    return digests, n, maybe_repeated(digests.sparkSession, twice, bits)
 
 
 def _winners(rows: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def _winners(rows: DataFrame) -> DataFrame:
 
 def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 1 << 30) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    digests, n, probe = _marked(docs, doc_id, text, max_bits)
+    digests, n, probe = _marked(_digests(docs, F.monotonically_increasing_id(), doc_id, text), max_bits)
     again = materialize(digests.where(probe("key")).drop("key"), "repeated")
     groups = materialize(_winners(again), "groups")
     sha = F.lower(F.hex("sha")).alias("text_sha256")
@@ -142,11 +142,11 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 1 << 30) -> DataFrame:
     """The documents that stay, with all their columns. Rows that cannot be repeated are not shuffled."""
-    digests, _, probe = _marked(docs, doc_id, text, max_bits)
+    docs = numbered(docs, RID, "numbered")
+    digests, _, probe = _marked(_digests(docs, F.col(RID), doc_id, text), max_bits)
     again = digests.where(probe("key")).select("rid", "doc_id", "size", "sha")
     stay = materialize(_winners(again).select(F.col("keep_rid").alias("__keep")), "winners")
-    ours = ["__rid", "__again"]
-    tagged = docs.withColumn(ours[0], F.monotonically_increasing_id()).withColumn(ours[1], probe(F.xxhash64(F.unhex(F.sha2(normalized(text), 256)))))
-    once = tagged.where(~F.col(ours[1]))
-    rest = tagged.where(F.col(ours[1])).join(stay, F.col(ours[0]) == F.col("__keep"), "left_semi")
-    return once.unionByName(rest).drop(*ours)
+    tagged = docs.withColumn("__again", probe(F.xxhash64(F.unhex(F.sha2(normalized(text), 256)))))
+    once = tagged.where(~F.col("__again"))
+    rest = tagged.where(F.col("__again")).join(stay, F.col(RID) == F.col("__keep"), "left_semi")
+    return once.unionByName(rest).drop(RID, "__again")

@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import materialize
+from tallyframe.llm.common import materialize, numbered
 
 UND = "und"
+RID = "__language_row"
 BUCKETS = 1 << 16
 PER_LANGUAGE = 1000
 #: Labels that a task counts at once; the sums of more go out in parts.
@@ -102,8 +103,7 @@ def fit(labelled: DataFrame | None = None, text: str = "text", label: str = "lan
         share = F.create_map(*(F.lit(x) for r in sizes for x in (r["label"], per_language / r["count"]))) if sizes else None
         if sizes:
             # with the row's number, so that rows of one text are chosen apart
-            numbered = rows.withColumn("rid", F.monotonically_increasing_id())
-            chosen = numbered.where(F.pmod(F.xxhash64("text", "rid"), F.lit(1_000_000)) < F.try_element_at(share, F.col("label")) * 1_000_000).select("label", "text")
+            chosen = rows.withColumn("rid", F.monotonically_increasing_id()).where(F.pmod(F.xxhash64("text", "rid"), F.lit(1_000_000)) < F.try_element_at(share, F.col("label")) * 1_000_000).select("label", "text")
             for r in chosen.mapInArrow(_counted, "label string, counts binary").groupBy("label").applyInArrow(_summed, "label string, counts binary").collect():
                 counts[r.label] = counts.get(r.label, 0) + np.frombuffer(r.counts, "<i8").astype(np.float64)
     names = tuple(sorted(counts))
@@ -132,13 +132,13 @@ def _scored(model: Model):
     return run
 
 
-def identify(rows: DataFrame, model: Model, key: str, text: Column, declared: Column, suffix: Column, host: Column, domain: Column, least: float = 0.5) -> DataFrame:
-    """key, rid, lang, confidence, text_lang of every row. rid is the row's number (monotonically_increasing_id of rows)."""
+def identify(rows: DataFrame, model: Model, key: str, text: Column, declared: Column, suffix: Column, host: Column, domain: Column, least: float = 0.5, rid: str | None = None) -> DataFrame:
+    """key, rid, lang, confidence, text_lang of every row. rid is a column's, or the row's number."""
     names = [*model.languages, UND]
     width = len(names)
     clean = lambda c: F.coalesce(F.lower(c.cast("string")), F.lit(""))
     primary = F.regexp_extract(clean(declared), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
-    base = rows.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), primary.alias("declared"), clean(suffix).alias("suffix"), clean(host).alias("host"), clean(domain).alias("domain"), text.cast("string").alias("text"))
+    base = rows.select((F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"), F.col(key).alias("key"), primary.alias("declared"), clean(suffix).alias("suffix"), clean(host).alias("host"), clean(domain).alias("domain"), text.cast("string").alias("text"))
     kind = rows.schema[key].dataType.simpleString()
     scored = base.mapInArrow(_scored(model), f"rid long, key {kind}, declared string, suffix string, host string, domain string, loglik array<double>")
     # a column for each language from here on: plain arithmetic, which is compiled, where array functions are interpreted
@@ -208,7 +208,7 @@ def keep_known(docs: DataFrame, model: Model, text: str = "text", declared: str
     """The documents, all columns, whose language is known."""
     none = F.lit("")
     of = lambda name: F.col(name) if name in docs.columns else none
-    rows = docs.withColumn("__key", F.lit(0))
-    found = identify(rows, model, "__key", F.coalesce(F.col(text), none), of(declared), none, of(host), of(host), least)
+    docs = numbered(docs, RID, "numbered")
+    found = identify(docs, model, RID, F.coalesce(F.col(text), none), of(declared), none, of(host), of(host), least, RID)
     gone = materialize(found.where(f"lang = '{UND}'").select(F.col("rid").alias("__gone")), "rejected")
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(gone, F.col("__rid") == F.col("__gone"), "left_anti").drop("__rid")
+    return docs.join(gone, F.col(RID) == F.col("__gone"), "left_anti").drop(RID)

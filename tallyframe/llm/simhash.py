@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tallyframe.llm.common import materialize, with_group
+from tallyframe.llm.common import materialize, numbered, with_group
 
+RID = "__simhash_row"
 SEED = 42
 WORDS = 3
 LOW = 0xFFFFFFFF
@@ -58,9 +59,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["rid", "doc_id", "fp"])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """rid, doc_id and fp (as a signed long) of every document."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rid: str | None = None) -> DataFrame:
+    """rid (a column's, or the row's number), doc_id and fp (as a signed long) of every document."""
+    rows = docs.select((F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(_fingerprints, "rid long, doc_id long, fp long")
 
 
@@ -115,12 +116,12 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = 32, rid: str | None = None) -> DataFrame:
     """rid, doc_id, fp, component_id and keep_rid of every document.
 
     component_id is the smallest doc_id that links reach from the document, keep_rid the row that carries it.
     """
-    rows = materialize(fingerprints(docs, doc_id, text), "fingerprints")
+    rows = materialize(fingerprints(docs, doc_id, text, rid), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))
     classes = materialize(rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("size")), "classes")
     labels = components(links(classes.select("fp"), bucket))
@@ -133,5 +134,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = 32) -> DataFrame:
     """The documents, all columns, that carry their component's smallest doc_id."""
-    drop = materialize(near_duplicates(docs, doc_id, text, bucket).where("rid != keep_rid").select(F.col("rid").alias("__drop")), "dropped")
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(drop, F.col("__rid") == F.col("__drop"), "left_anti").drop("__rid")
+    docs = numbered(docs, RID, "numbered")
+    drop = materialize(near_duplicates(docs, doc_id, text, bucket, RID).where("rid != keep_rid").select(F.col("rid").alias("__drop")), "dropped")
+    return docs.join(drop, F.col(RID) == F.col("__drop"), "left_anti").drop(RID)

@@ -4,11 +4,16 @@ A stretch of a text and a template are aligned on the words that are unique in b
 anchors, and the gaps between anchors are aligned in the same way until nothing is unique. Coverage is the share of the template's
 words that are aligned. Of a line or notice, the words that name the license and its version must all be aligned.
 
-A template is tried only where it can succeed: its rarest words are so many that a stretch without any of them covers less than
-``least``. The stretches are windows around those words, so long texts and repeated notices are met in whole.
+A template is tried only where it can succeed: its rarest words are so many that a text without any of them covers less than
+``least``, and so does a text that has too few of its words, however they stand. It is then aligned with the whole text, which finds it
+however much stands between its words, and with windows around each place where a rare word says that it may begin, which finds every
+one of repeated notices. A window that has a quarter of the template (``GROWS``) is made twice as wide as long as that aligns a
+twentieth more of it (``GAIN``); so a notice that comes once is found however sparse it is, and repeated ones with up to four foreign
+words for each of their own.
 
 Defined cases: a null text counts as empty and has no licenses; repeated rows are rows each; a null doc_id stays null; an empty table
-gives an empty result; extra columns are ignored. Of findings that overlap, the one with the most aligned words stays, then the one of best coverage, then the first.
+gives an empty result; extra columns are ignored. Of findings that overlap, the one with the most aligned words stays, then the one of
+best coverage, then the shortest, then the first.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST = 0.8
+GROWS, GAIN = 0.25, 0.05
 
 #: Notices and short licenses, as they are published.
 TEMPLATES = {
@@ -67,6 +73,40 @@ file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "LGPL-3.0-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
 }
 
+#: Whole texts of short licenses, as they are published; for the others a notice or line stands.
+_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT
+NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING,
+BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED
+AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+TEMPLATES |= {
+    "MIT-text": TEMPLATES["MIT"] + """
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR
+ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH
+THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-2-Clause-text": TEMPLATES["BSD-2-Clause"] + "\n" + _AS_IS,
+    "BSD-3-Clause-text": TEMPLATES["BSD-3-Clause"] + "\n" + _AS_IS,
+    "ISC-text": TEMPLATES["ISC"] + """
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY
+DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,
+ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "Zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not
+be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in
+the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must
+not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+    "Unlicense-text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and
+by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our
+heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to
+this software under copyright law.""",
+}
+
 #: The GNU notices are worded alike.
 _GNU = {"AGPL-3.0": ("Affero General", "3"), "GPL-2.0": ("General", "2"), "LGPL-2.1": ("Lesser General", "2.1"), "LGPL-3.0": ("Lesser General", "3")}
 TEMPLATES |= {f"{k}-notice": TEMPLATES["GPL-3.0-notice"].replace("GNU General", f"GNU {kind}").replace("version 3", f"version {v}") for k, (kind, v) in _GNU.items()}
@@ -142,6 +182,8 @@ class Scanner:
                 rare.add(w)
                 got += times[w]
             self.rare[name] = rare
+        self.counts = {k: Counter(v) for k, v in self.templates.items()}
+        self.vocabulary = KINDS.union(*self.templates.values())
         self.any = sorted(set().union(*self.rare.values())) if self.rare else []
 
     def __call__(self, text: str) -> list[tuple[str, float, int, int]]:
@@ -156,33 +198,49 @@ class Scanner:
         tokens = [w for w, _, _ in found]
         places: dict[str, list[int]] = {}
         for i, w in enumerate(tokens):
-            if w in present:
+            if w in self.vocabulary:
                 places.setdefault(w, []).append(i)
-        best: set[tuple[int, float, int, int, str]] = set()
+        best: set[tuple[int, float, int, int, int, str]] = set()
         for name in names:
             own = self.templates[name]
-            n, slack = len(own), max(2, len(own) // 4)
-            # where the template would begin if a rare word stands in its place; near ones share a window
-            begins = sorted({i - j for j, w in enumerate(own) if w in self.rare[name] for i in places.get(w, ())})
-            last = None
-            for begin in begins:
-                if last is not None and begin - last <= slack // 2:
+            if sum(min(k, len(places.get(w, ()))) for w, k in self.counts[name].items()) < self.least * len(own):
+                continue
+            for pairs in self.alignments(name, tokens, places):
+                if not pairs or len(pairs) < self.least * len(own) or not self.telling[name] <= {j for _, j in pairs}:
                     continue
-                last = begin
-                low = max(0, begin - slack)
-                pairs = align(tokens[low : begin + n + slack], own)
-                if pairs and len(pairs) >= self.least * n and self.telling[name] <= {j for _, j in pairs}:
-                    met = {low + i for i, _ in pairs}
-                    if any(tokens[i] in KINDS and i not in met for i in range(low + pairs[0][0], low + pairs[-1][0])):
-                        continue
-                    best.add((-len(pairs), -len(pairs) / n, low + pairs[0][0], low + pairs[-1][0] + 1, name))
+                a, b, met = pairs[0][0], pairs[-1][0], {i for i, _ in pairs}
+                if not any(i not in met and a < i < b for w in KINDS for i in places.get(w, ())):
+                    best.add((-len(pairs), -len(pairs) / len(own), b + 1 - a, a, b + 1, name))
         taken: list[tuple[int, int, str, float]] = []
-        for _, c, a, b, name in sorted(best):  # the most words aligned first, then the best coverage
+        for _, c, _, a, b, name in sorted(best):
             k = bisect.bisect_left(taken, (a,))
             if (k == len(taken) or b <= taken[k][0]) and (not k or taken[k - 1][1] <= a):
                 taken.insert(k, (a, b, name, -c))
         return [(name, round(c, 6), found[a][1], found[b - 1][2]) for a, b, name, c in taken]
 
+    def alignments(self, name: str, tokens: list[str], places: dict[str, list[int]]) -> Iterator[list[tuple[int, int]]]:
+        """Of the template with the whole text, and with windows where a rare word stands in its place; (in text, in template)."""
+        own = self.templates[name]
+        n, slack = len(own), max(2, len(own) // 4)
+        yield align(tokens, own)
+        whole = range(0)  # a stretch that has all of the template
+        for begin in sorted({i - j for j, w in enumerate(own) if w in self.rare[name] for i in places.get(w, ())}):
+            if begin in whole:
+                continue
+            low, high = max(0, begin - slack), begin + n + slack
+            pairs = [(low + i, j) for i, j in align(tokens[low:high], own)]
+            while GROWS * n <= len(pairs) < n and (low or high < len(tokens)):
+                width = high - low
+                low, high = max(0, low - width // 2), high + width // 2
+                wider = [(low + i, j) for i, j in align(tokens[low:high], own)]
+                gain = len(wider) - len(pairs)
+                pairs = max(pairs, wider, key=len)
+                if gain < GAIN * n:
+                    break
+            if len(pairs) == n and pairs[-1][0] - pairs[0][0] == n - 1:
+                whole = range(begin, pairs[-1][0] + 1)
+            yield pairs
+
 
 def _scanned(templates: dict[str, str], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

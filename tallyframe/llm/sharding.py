@@ -6,7 +6,9 @@ of rows and differ by one at most, so the counts do as well; a new shard or a lo
 displace.
 
 The rows between two points, an arc, are counted by a grouped sum; the driver walks over the arcs (shards * vnodes of them,
-whatever the number of rows) and gives each the shards that take its ranks. A row then needs its rank in its arc only.
+whatever the number of rows) and gives each the shards that take its ranks. A row then needs its rank in its arc only. Equal rows share
+a place, and an arc with it; a place with a thousandth of all rows or more (there are a thousand at most) is dealt over ``SALTS`` by row
+number, which of equal rows can be any order, and its rows rank after the arc's others.
 
 Defined cases: a null text has no bytes and size 16; a null doc_id is a key like any other; repeated rows are rows each, and rows
 that are equal in all respects are ranked in any order (they are the same); an empty table gives an empty result; extra columns are
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import materialize, text_of
 
 RING = 1 << 60
+SALTS = 64
+#: A place with this share of all rows is hot.
+SHARE = 1000
 
 
 def ring(shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -86,10 +91,24 @@ def bounded_ring(docs: DataFrame, shards: int = 40, vnodes: int = 128, doc_id: s
     grid = spark.createDataFrame([(c, low[c], inside[c]) for c in range(cells)], "cell int, low int, inside array<long>")
     rows = rows.withColumn("place", place).withColumn("cell", F.expr(f"cast(place div {RING // cells} as int)")).join(F.broadcast(grid), "cell")
     rows = rows.withColumn("arc", F.expr(f"(low + size(filter(inside, p -> p < place))) % {len(at)}")).drop("cell", "low", "inside")
-    rows = materialize(rows, "arcs")
+    rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "arcs")
     counts = {r.arc: r.n for r in rows.groupBy("arc").agg(F.count("*").alias("n")).collect()}  # at most shards * vnodes rows
     dealt = spark.createDataFrame(deal(counts, owners, shards), "arc int, first long, n long, shard int, slot0 long")
     per_arc = dealt.groupBy("arc").agg(F.collect_list(F.struct("first", "n", "shard", "slot0")).alias("parts"))
-    rank = F.row_number().over(Window.partitionBy("arc").orderBy("place", "doc_id", "size", "text_crc32")) - 1
-    found = rows.withColumn("rank", rank).join(F.broadcast(per_arc), "arc").withColumn("part", F.expr("filter(parts, p -> p.first <= rank and rank < p.first + p.n)[0]"))
+    found = _ranked(rows, counts).join(F.broadcast(per_arc), "arc").withColumn("part", F.expr("filter(parts, p -> p.first <= rank and rank < p.first + p.n)[0]"))
     return found.select("doc_id", "size", "text_crc32", F.col("part.shard").alias("shard"), (F.col("rank") - F.col("part.first") + F.col("part.slot0")).alias("slot"))
+
+
+def _ranked(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """rows with their rank in their arc: by place, hot places last. counts: rows of each arc."""
+    least = max(sum(counts.values()) / SHARE, SHARE)
+    full = [arc for arc, n in counts.items() if n >= least]  # a hot place is in one of these, SHARE at most
+    places = rows.where(F.col("arc").isin(full)) if full else rows.limit(0)
+    hot = materialize(places.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("place").alias("hot")), "hot")  # SHARE rows at most
+    segments = rows.join(F.broadcast(hot), F.col("place") == F.col("hot"), "left").withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("rid"), F.lit(SALTS))).otherwise(F.lit(-1)))
+    segments = segments.withColumn("hot", F.coalesce("hot", F.lit(-1)))
+    sizes = segments.groupBy("arc", "hot", "salt").agg(F.count("*").alias("n"))  # shards * vnodes + SHARE * SALTS rows at most
+    before = Window.partitionBy("arc").orderBy("hot", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    bases = materialize(sizes.select("arc", "hot", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
+    rank = F.row_number().over(Window.partitionBy("arc", "hot", "salt").orderBy("place", "doc_id", "size", "text_crc32")) - 1
+    return segments.withColumn("own", rank).join(F.broadcast(bases), ["arc", "hot", "salt"]).withColumn("rank", F.col("own") + F.col("base"))

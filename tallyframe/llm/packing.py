@@ -8,7 +8,8 @@ or the best-matched one; ties go to the bin with fewer tokens left.
 A piece's request depends on its length only, and there are at most ``tokens`` lengths. So the corpus is summed up as a histogram
 of lengths, the driver packs the histogram (equal pieces into equal bins at once, so its work and memory depend on the number of
 lengths and not on the number of documents), and each piece finds its place by its rank among the pieces of its length. Ranks are
-taken within (length, salt), so that a length that a third of the corpus shares is dealt over many tasks.
+taken within (length, salt), so that a length that a third of the corpus shares is dealt over many tasks; the ranks before each salt
+are sums of a window over the salts' counts, and no more than the histogram comes to the driver.
 
 Defined cases: a null text counts as empty and still has its end id; a null doc_id stays null; repeated rows are packed each; an
 empty table gives an empty result; extra columns are ignored. Long texts are cut into pieces of ``tokens``, the first may be
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import materialize
@@ -34,20 +35,21 @@ PIECES = "rid long, doc_id long, piece int, start long, length long, ids_crc32 l
 
 def _pieces(path: str, pattern: str, end: int, tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern)
-        tail = np.asarray([end], "<u4").tobytes()
+        encode, tail = encoder(path, pattern), np.asarray([end], "<u4").tobytes()
+        names = [x.split()[0] for x in PIECES.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
-            rows = []
-            for rid, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                ids = encode(text.as_py() or "") + tail
-                n = len(ids) // 4
-                at, upto, k = 0, (n - 1) % tokens + 1, 0
-                while at < n:
-                    rows.append((rid, doc, k, at, upto - at, zlib.crc32(ids[4 * at : 4 * upto])))
-                    at, upto, k = upto, upto + tokens, k + 1
-            names = [x.split()[0] for x in PIECES.split(", ")]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=names)
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            for codes in encode.batches(batch.column(2), tail):
+                rows = []
+                for code, (rid, doc) in zip(codes, keys):
+                    ids = memoryview(code.as_buffer())
+                    n = len(ids) // 4
+                    at, upto, k = 0, (n - 1) % tokens + 1, 0
+                    while at < n:
+                        rows.append((rid, doc, k, at, upto - at, zlib.crc32(ids[4 * at : 4 * upto])))
+                        at, upto, k = upto, upto + tokens, k + 1
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=names)
 
     return run
 
@@ -123,21 +125,17 @@ def pack(cut: DataFrame, tokens: int = 1024, documents: int = 1024, attention: i
     part = cut.where(F.col("length") < tokens)
     salts = 8 + part.count() // rows_a_salt
     part = part.withColumn("salt", F.pmod(F.xxhash64("rid", "piece"), F.lit(salts)).cast("int"))
-    counts = part.groupBy("length", "salt").agg(F.count("*").alias("n")).orderBy("length", "salt").collect()  # at most tokens * salts rows
-    histogram: dict[int, int] = defaultdict(int)
-    bases = []
-    for row in counts:
-        bases.append((row.length, row.salt, histogram[row.length]))
-        histogram[row.length] += row.n
+    counts = materialize(part.groupBy("length", "salt").agg(F.count("*").alias("n")), "counts")
+    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row for each length, fewer than tokens
     found = runs(best_fit(histogram, tokens, documents, attention, rule))
     places = spark.createDataFrame(found, "p_length long, first long, bins long, sequence long, at long, each long") if found else spark.createDataFrame([], "p_length long, first long, bins long, sequence long, at long, each long")
-    base = spark.createDataFrame(bases, "length long, salt int, base long")
     opened = max((s + n for _, _, n, s, _, _ in found), default=0)
 
-    from pyspark.sql import Window
-
+    # the ranks before a salt's: a length's salts in order; a row a salt, so the window is short
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    base = materialize(counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("rid", "piece")) - 1
-    ranked = part.withColumn("own", rank).join(F.broadcast(base), ["length", "salt"]).withColumn("rank", F.col("own") + F.col("base"))
+    ranked = part.withColumn("own", rank).join(base, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("base"))
     # a length has one run of ranks for each group of equal bins: look it up by binary search in its sorted starts
     starts = places.groupBy("p_length").agg(F.array_sort(F.collect_list(F.struct("first", "bins", "sequence", "at", "each"))).alias("runs"))
     at = F.expr("aggregate(sequence(1, 20), struct(0 as lo, size(runs) as hi), (s, i) -> if(s.hi - s.lo <= 1, s, if(element_at(runs, cast((s.lo + s.hi) div 2 as int) + 1).first <= rank, struct(cast((s.lo + s.hi) div 2 as int) as lo, s.hi as hi), struct(s.lo as lo, cast((s.lo + s.hi) div 2 as int) as hi))), s -> runs[s.lo])")

@@ -5,8 +5,11 @@ dictionary-encoded (a page's ids are then packed to the bits that the vocabulary
 (Parquet's second data page version). Row groups and pages have fixed sizes and page indexes are written, so a reader that asks
 for the metadata reads no ids, and one that asks for a range of doc_id reads only the pages that hold it.
 
-Defined cases: a null text counts as empty and has its end id only; null doc_ids come first; rows with equal doc_id are ordered by
-their text; repeated rows are kept; an empty table gives files without rows; extra columns are ignored.
+Files are ranges of doc_id and, of rows that share one, of a hash of the row's number; so a doc_id that many rows share, or null, is
+dealt over files, and the number of files grows with the input.
+
+Defined cases: a null text counts as empty and has its end id only; null doc_ids come first; rows with equal doc_id follow each other
+in any order; repeated rows are kept; an empty table gives files without rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.tokens import encoder
+from tallyframe.llm.common import numbered, parts_for, ranges
+from tallyframe.llm.tokens import encoder, offsets_of
+
+RID = "__token_row"
+#: Bytes of input for each file of ids.
+FILE_BYTES = 128 << 20
 
 FILE = "doc_id long, part int, row long, start_in_part long, n_tokens long, token_ids array<int>"
 LAYOUT = {
@@ -34,8 +42,8 @@ LAYOUT = {
 }
 
 
-def _encoded(path: str, pattern: str, end: int, most: int = 1 << 20):
-    """A batch of rows at a time, of about ``most`` ids."""
+def _encoded(path: str, pattern: str, end: int, most: int = 4 << 20):
+    """Some megabytes of texts at a time; a batch that goes out has ``most`` bytes of ids, or one document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -44,34 +52,36 @@ def _encoded(path: str, pattern: str, end: int, most: int = 1 << 20):
         encode, tail = encoder(path, pattern), np.asarray([end], "<u4").tobytes()
         row, start = 0, 0
 
-        def flush(docs: list, ids: list[bytes]) -> pa.RecordBatch:
+        def rows(docs: pa.Array, codes: pa.Array) -> pa.RecordBatch:
             nonlocal row, start
-            n = np.asarray([len(x) // 4 for x in ids], np.int64)
-            offsets = np.r_[0, np.cumsum(n)]
-            tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            out = [pa.array(docs, pa.int64()), pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(row, row + len(n))), pa.array(start + offsets[:-1]), pa.array(n), tokens]
-            row, start = row + len(n), start + int(offsets[-1])
-            return pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in FILE.split(", ")])
+            ends = offsets_of(codes) >> 2
+            n = np.diff(ends).astype(np.int64)
+            ids = pa.Array.from_buffers(pa.int32(), int(ends[-1] - ends[0]), [None, codes.buffers()[2]], offset=int(ends[0]))
+            columns = [docs, pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(row, row + len(n))), pa.array(start + np.cumsum(n) - n), pa.array(n), pa.ListArray.from_arrays(pa.array(ends - ends[0]), ids)]
+            row, start = row + len(n), start + int(n.sum())
+            return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in FILE.split(", ")])
 
         for batch in batches:
-            docs, ids, size = [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                docs.append(doc)
-                ids.append(encode(text.as_py() or "") + tail)
-                size += len(ids[-1]) // 4
-                if size >= most:
-                    yield flush(docs, ids)
-                    docs, ids, size = [], [], 0
-            if docs:
-                yield flush(docs, ids)
+            docs, done = batch.column(0), 0
+            for codes in encode.batches(batch.column(1), tail):
+                ends, at = offsets_of(codes), 0
+                while at < len(codes):
+                    upto = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+                    yield rows(docs.slice(done + at, upto - at), codes.slice(at, upto - at))
+                    at = upto
+                done += len(codes)
 
     return run
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, end: int = 0, parts: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encode docs and write their ids below path. The texts are sorted, not the ids: they take less room in the shuffle."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(*([parts] if parts else []), "doc_id").sortWithinPartitions("doc_id", "text")
+    docs = numbered(docs, RID, "numbered")
+    at, mix = F.coalesce(F.col(doc_id).cast("long"), F.expr("-9223372036854775808L")), F.xxhash64(RID)  # of one long: no two rows have the same
+    keyed = docs.select(at.alias("at"), mix.alias("mix"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    parts = parts or parts_for(docs, FILE_BYTES)
+    found, _ = ranges(keyed, parts, "at", "mix")
+    ordered = keyed.withColumn("range", found).repartitionById(parts, "range").sortWithinPartitions("at", "mix").select("doc_id", "text")
     ordered.mapInArrow(_encoded(tokenizer, pattern, end), FILE).write.options(**LAYOUT).parquet(path)
 
 

@@ -4,33 +4,42 @@ Texts are split by the pattern of the rank files. The distinct words of the corp
 array of single-byte tokens merges, step by step, the adjacent pair of lowest rank, which it looks up in a literal rank map (from
 the two token ids to the id of both). The map is an array of small maps by a hash of the pair, so a lookup is short.
 
-Documents meet their words in groups of consecutive rows. A group deals its distinct words into buckets by hash; a bucket encodes
-each of its words once and sends every group its own words with their ids, and a co-group brings these to the group's texts. No
-dictionary of the corpus is broadcast or held in one place: a group's and a bucket's size stay the same as the corpus grows. Decoding concatenates the byte pieces of
-the ids. Words of more than ``longest`` bytes, where a fold would be quadratic, are encoded by the tiktoken library in place.
+A step of the fold of a word of up to ``SHORT`` bytes merges one pair. A longer word is a string of its tokens, and a step replaces
+every occurrence of the pair of lowest rank, from the left; a merged pair's rank is above those of its parts, so that is the order in
+which single steps would merge them. Its steps grow with the number of different merges, not with the word's length. Decoding
+concatenates the byte pieces of the ids, for each distinct word once; a text's bytes are those of its words in order.
+
+Documents meet their words in groups of consecutive rows of some megabytes. A group deals its distinct words into buckets by hash; a
+bucket encodes each of its words once and sends every group its own words with their ids and bytes, and a co-group brings these to the
+group's texts. No dictionary of the corpus is broadcast or held in one place: a group's and a bucket's size stay the same as the corpus
+grows, and so does what a task reads.
 
 Defined cases: a null text counts as empty and has no ids; repeated rows are rows each; a null doc_id stays null; an empty table
-gives an empty result; extra columns are ignored. Special tokens in a text are ordinary text.
+gives an empty result; extra columns are ignored. Special tokens in a text are ordinary text. A text is in one group whatever its size.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.tokens import MARKS, spaced
+from tallyframe.llm.common import literal, parts_for, size_of, stable
+from tallyframe.llm.tokens import joined_up, matches, offsets_of, pieces_of, spaced_out, split_texts
 
 NONE = 2**31 - 1
+#: Bytes of a word up to which its fold merges a pair a step: in a short word a pair seldom comes twice.
+SHORT = 64
+#: Words that are encoded as one row.
+A_ROW = 2000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -63,12 +72,18 @@ def pair_map(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
     return shift, slots
 
 
+def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes of an array of ids: their pieces, one after the other."""
+    pieces = [""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        pieces[rank] = token.hex()
+    table = literal(pieces, "string")
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
+
+
 def encode_words(words: DataFrame, ranks: dict[bytes, int], source: str = "words", out: str = "ids") -> DataFrame:
     """Add ``out`` (array<array<int>>): the ids of each of an array of words (binary)."""
 
-    def literal(values: list[int], kind: str) -> Column:
-        return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")  # folded to a literal by the optimizer
-
     shift, slots = pair_map(ranks)
     shift, slots = literal(shift, "int"), literal(slots, "bigint")
     single = literal([ranks[bytes([b])] for b in range(256)], "int")
@@ -91,65 +106,120 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], source: str = "words
     def joined(ids: Column, p: Column, least: Column) -> Column:
         return F.transform(F.array(F.array_position(p, least).cast("int")), lambda at: F.concat(F.slice(ids, F.lit(1), at - 1), F.array(least), F.slice(ids, at + 2, F.size(ids))))[0]
 
-    folded = F.transform(source, lambda word: F.array_remove(F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start(word), step), -1))
-    return words.withColumn(out, folded)
-
-
-def _matches(find: Callable[[str], list[str]], word: str) -> list[str]:
-    """The pattern's matches in a word after its space; most words are letters, or letters and a mark, and need no search."""
-    if word.isalpha():
-        return [f" {word}"]
-    if word and word[-1] in MARKS and word[:-1].isalpha():
-        return [f" {word[:-1]}", word[-1]]
-    return find(f" {word}")
-
-
-def _packed(words: list[bytes]) -> bytes:
-    """Words with their lengths, compressed."""
-    lengths = np.fromiter(map(len, words), "<u2", len(words)).tobytes()
-    return zstandard.compress(len(words).to_bytes(4, "little") + lengths + b"".join(words), 3)
-
-
-def _unpacked(blob: bytes) -> list[bytes]:
-    raw = zstandard.decompress(blob)
-    n = int.from_bytes(raw[:4], "little")
-    ends = (np.cumsum(np.frombuffer(raw, "<u2", n, 4), dtype=np.int64) + 4 + 2 * n).tolist()
-    return [raw[a:b] for a, b in zip([4 + 2 * n, *ends[:-1]], ends)]
-
-
-def _distinct(pattern: str, longest: int, buckets: int):
-    """For each group of rows: its distinct words, but for overlong ones, dealt into buckets by hash."""
+    def short(word: Column) -> Column:
+        return F.array_remove(F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start(word), step), -1)
+
+    def tokens(chain: Column) -> Column:
+        return F.split(F.substring(chain, F.lit(2), F.length(chain) - 2), "><").cast("array<int>")
+
+    def every(state: Column, _: Column) -> Column:
+        """Replace all that is the pair of lowest rank; a chain of tokens is <first><second>..."""
+
+        def with_ranks(at: Column) -> Column:
+            return F.transform(F.array(F.array_min(at["p"])), lambda least: F.when(least == none, ended(at["chain"])).otherwise(replaced(at, least)))[0]
+
+        def replaced(at: Column, least: Column) -> Column:
+            first = F.array_position(at["p"], least).cast("int")
+            pair = F.concat(F.lit("<"), F.get(at["ids"], first - 1).cast("string"), F.lit("><"), F.get(at["ids"], first).cast("string"), F.lit(">"))
+            return F.struct(F.replace(at["chain"], pair, F.concat(F.lit("<"), least.cast("string"), F.lit(">"))).alias("chain"), F.lit(False).alias("done"))
+
+        def ended(chain: Column) -> Column:
+            return F.struct(chain.alias("chain"), F.lit(True).alias("done"))
+
+        ids = F.transform(F.array(tokens(state["chain"])), lambda ids: F.struct(state["chain"].alias("chain"), ids.alias("ids"), ranked(ids).alias("p")))
+        return F.when(state["done"], state).otherwise(F.transform(ids, with_ranks)[0])
+
+    def long(word: Column) -> Column:
+        chain = F.concat(F.lit("<"), F.array_join(start(word).cast("array<string>"), "><"), F.lit(">"))
+        return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), F.struct(chain.alias("chain"), F.lit(False).alias("done")), every, lambda s: tokens(s["chain"]))
+
+    return words.withColumn(out, F.transform(source, lambda word: F.when(F.octet_length(word) <= SHORT, short(word)).otherwise(long(word))))
+
+
+def _packed(*columns: pa.Array) -> bytes:
+    """Columns of as many binary values, with their lengths, compressed together: what decoded words repeat of the words costs little."""
+    out = [len(columns[0]).to_bytes(4, "little")]
+    for column in columns:
+        at = offsets_of(column)
+        out += [np.diff(at).astype("<u4").tobytes(), column.buffers()[2].slice(at[0], at[-1] - at[0]) if at[-1] > at[0] else b""]
+    return zstandard.compress(b"".join(out), 3)
+
+
+def _unpacked(blob: bytes, columns: int) -> list[pa.Array]:
+    raw = pa.py_buffer(zstandard.decompress(blob))
+    n, at, out = int.from_bytes(raw[:4].to_pybytes(), "little"), 4, []
+    for _ in range(columns):
+        ends = np.zeros(n + 1, np.int32)
+        np.cumsum(np.frombuffer(raw, "<u4", n, at), out=ends[1:])
+        out.append(pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), raw.slice(at + 4 * n, int(ends[-1]))]))
+        at += 4 * n + int(ends[-1])
+    return out
+
+
+def _hashed(words: pa.Array, buckets: int) -> np.ndarray:
+    """A bucket for each word (binary, not empty), by a polynomial of its bytes."""
+    at = offsets_of(words)
+    raw = np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]].astype(np.uint64)
+    at = at - at[0]
+    place = np.arange(len(raw)) - np.repeat(at[:-1], np.diff(at))
+    powers = np.cumprod(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    sums = np.add.reduceat((raw + np.uint64(1)) * powers[place], at[:-1])
+    return (((sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+
+
+class _Groups:
+    """Numbers the groups of a task's rows: a group ends where its texts come to ``most`` bytes."""
+
+    def __init__(self, most: int):
+        from pyspark import TaskContext
+
+        self.now, self.most, self.size = TaskContext.get().partitionId() << 32, most, 0
+
+    def cut(self, texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+        """Runs of texts, each with its group."""
+        ends, at = np.cumsum(np.diff(offsets_of(texts)), dtype=np.int64), 0
+        while at < len(texts):
+            if self.size >= self.most:
+                self.now, self.size = self.now + 1, 0
+            before = int(ends[at - 1]) if at else 0
+            upto = min(len(texts), int(np.searchsorted(ends, before + self.most - self.size)) + 1)
+            self.size += int(ends[upto - 1]) - before
+            yield self.now, texts.slice(at, upto - at)
+            at = upto
+
+
+def _distinct(pattern: str, most: int, buckets: int):
+    """For each group of rows: its distinct words, dealt into buckets by hash."""
+
+    def dealt(find: Callable[[str], list[str]], group: int, texts: pa.Array) -> pa.RecordBatch:
+        values, _, first = pieces_of(split_texts(texts))
+        words, heads = pc.unique(values.filter(pa.array(~first))), pc.unique(values.filter(pa.array(first)))
+        letters = pc.and_(pc.string_is_ascii(words), pc.ascii_is_alpha(words))  # these are one match each
+        found = {m for head in heads.to_pylist() for m in find(head)}
+        for word in words.filter(pc.invert(letters)).to_pylist():
+            found.update(matches(find, word))
+        plain = spaced_out(words.filter(letters))
+        own = pc.unique(pa.concat_arrays([plain, pa.array([m.encode() for m in found], pa.binary())]))
+        if not len(own):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["bucket", "part", "blob"])
+        table = pa.table({"bucket": _hashed(own, buckets), "word": own})
+        table = table.take(pc.sort_indices(table, sort_keys=[("bucket", "ascending"), ("word", "ascending")])).combine_chunks()
+        bucket, own = table.column(0).to_numpy(), table.column(1).chunk(0)
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]).tolist()
+        blobs = [_packed(own.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array([group] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "part", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        now, heads, words = None, set(), set()
-
-        def flush() -> pa.RecordBatch:
-            plain = {w for w in words if w.isalpha()}
-            found = {m for h in heads for m in find(h)}
-            found.update([f" {w}" for w in plain])
-            for w in words - plain:
-                found.update(_matches(find, w))
-            for done in (plain, heads, words):
-                done.clear()
-            dealt: defaultdict[int, list[bytes]] = defaultdict(list)
-            for raw in map(str.encode, found):
-                if len(raw) <= longest:
-                    dealt[zlib.crc32(raw) % buckets].append(raw)
-            return pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int64()), pa.array([now] * len(dealt), pa.int64()), pa.array([_packed(sorted(x)) for x in dealt.values()], pa.binary())], names=["bucket", "part", "blob"])
-
+        find, groups, now, held = regex.compile(pattern).findall, _Groups(most), None, []
         for batch in batches:
-            for group, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if group != now:
-                    if heads:
-                        yield flush()
-                    now, heads, words = group, set(), set()
-                if text := text.as_py():
-                    head, rest = spaced(text)
-                    heads.add(head)
-                    words.update(rest)
-        if heads:
-            yield flush()
+            for group, texts in groups.cut(batch.column(0)):
+                if group != now and held:
+                    yield dealt(find, now, pa.concat_arrays(held))
+                    held = []
+                now = group
+                held.append(texts)
+        if held:
+            yield dealt(find, now, pa.concat_arrays(held))
 
     return run
 
@@ -159,161 +229,127 @@ ROW = "part long, members binary, words array<binary>"
 
 def _bucket(tab: pa.Table) -> pa.Table:
     """A bucket's distinct words, some thousand a row, and then for each group the numbers of its words."""
-    number: dict[bytes, int] = {}
-    members = []
-    for part, blob in zip(tab.column("part").to_pylist(), tab.column("blob")):
-        own = [number.setdefault(w, len(number)) for w in _unpacked(blob.as_py())]
-        members.append((part, np.asarray(own, "<u4").tobytes()))
-    words = list(number)
-    rows = [(-1, b"", words[at : at + 2000]) for at in range(0, len(words), 2000)] + [(p, m, []) for p, m in members]
-    kinds = [pa.int64(), pa.binary(), pa.list_(pa.binary())]
-    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["part", "members", "words"])
+    blobs = [_unpacked(blob.as_py(), 1)[0] for blob in tab.column("blob")]
+    known = pa.concat_arrays(blobs).dictionary_encode()
+    words, number = known.dictionary, known.indices.to_numpy().astype("<u4")
+    ends = np.cumsum([0, *map(len, blobs)]).tolist()
+    members = [number[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+    cuts = [*range(0, len(words), A_ROW), len(words)]
+    lists = pa.ListArray.from_arrays(pa.array([*cuts, *[len(words)] * len(members)], pa.int32()), words)
+    return pa.table([pa.array([-1] * (len(cuts) - 1) + tab.column("part").to_pylist(), pa.int64()), pa.array([b""] * (len(cuts) - 1) + members, pa.binary()), lists], names=["part", "members", "words"])
 
 
 def _per_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What _bucket made, with the words' ids: for each group its words of the bucket and their ids."""
-    words, codes, ended = [], [], True
+    """What _bucket made, with the words' ids and bytes: for each group its words of the bucket, their ids and their bytes."""
+    held: list[list[pa.Array]] = [[], [], []]
+    ended = True
     for batch in batches:
+        part = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.r_[True, (part[1:] < 0) != (part[:-1] < 0), True]).tolist() if len(part) else []
         parts, blobs = [], []
-        ids = batch.column(3)
-        for k, (part, members) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
-            if part < 0:
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if part[a] < 0:
                 if ended:
-                    words, codes, ended = [], [], False
-                words += batch.column(2)[k].as_py()
-                lists = ids[k].values
-                at = lists.offsets.to_numpy()
-                raw = lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]].astype("<u2").tobytes()
-                at = (at - at[0]).tolist()
-                codes += [raw[2 * a : 2 * b] for a, b in zip(at[:-1], at[1:])]
+                    held, ended = [[], [], []], False
+                ids = batch.column(3).slice(a, b - a).flatten()
+                sizes = np.r_[0, np.cumsum(ids.value_lengths().to_numpy())].astype(np.int32) * np.int32(2)
+                codes = pa.py_buffer(ids.flatten().to_numpy(zero_copy_only=False).astype("<u2").tobytes())
+                own = (batch.column(2).slice(a, b - a).flatten(), pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(sizes), codes]), batch.column(4).slice(a, b - a).flatten())
+                for column, values in zip(held, own):
+                    column.append(values)
             else:
                 ended = True
-                own = np.frombuffer(members.as_py(), "<u4").tolist()
-                parts.append(part)
-                blobs.append(_packed([words[i] for i in own] + [codes[i] for i in own]))
+                held = [[pa.concat_arrays(column)] for column in held]
+                for k in range(a, b):
+                    at = pa.array(np.frombuffer(batch.column(1)[k].as_buffer(), "<u4"))
+                    parts.append(int(part[k]))
+                    blobs.append(_packed(*(column[0].take(at) for column in held)))
         yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
 
-def _folded(most: int = 4 << 20):
+def _folded(group: int, most: int = 4 << 20):
     """Texts of a group, some megabytes at a time, as compressed Arrow streams: they take less room in the shuffle."""
 
     def fold(rows: pa.RecordBatch) -> bytes:
-        sink, options = pa.BufferOutputStream(), pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=1))
+        sink, options = pa.BufferOutputStream(), pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
         with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
             out.write_batch(rows)
         return sink.getvalue().to_pybytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = _Groups(group)
         for batch in batches:
-            part = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
-            for a, b in zip(cuts, [*cuts[1:], len(part)]):
-                step = max(1, int((b - a) * most / max(most, batch.slice(a, b - a).nbytes)))
-                for at in range(a, b, step):
-                    rows = batch.slice(at, min(step, b - at)).select(["doc_id", "text"])
-                    yield pa.RecordBatch.from_arrays([pa.array([part[a]], pa.int64()), pa.array([fold(rows)], pa.binary())], names=["part", "blob"])
+            at = 0
+            for now, texts in groups.cut(batch.column(1)):
+                upto = at + len(texts)
+                step = max(1, int(len(texts) * most / max(most, texts.nbytes)))
+                for first in range(at, upto, step):
+                    yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([fold(batch.slice(first, min(step, upto - first)))], pa.binary())], names=["part", "blob"])
+                at = upto
 
     return run
 
 
-class _Decoder:
-    """Concatenates the byte pieces of ids."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
-        ordered = sorted(ranks.items(), key=lambda x: x[1])
-        self.flat = np.frombuffer(b"".join(t for t, _ in ordered), np.uint8)
-        for token, rank in ordered:
-            self.sizes[rank] = len(token)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-
-    def __call__(self, texts: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each of some texts' ids, all at once."""
-        ids = np.concatenate(texts) if texts else np.zeros(0, np.int64)
-        sizes = self.sizes[ids]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        raw = self.flat[np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(total)].tobytes()
-        last = np.r_[0, ends][np.cumsum([0, *map(len, texts)])].tolist()
-        return [raw[a:b] for a, b in zip(last[:-1], last[1:])]
-
-
-def _joined(pattern: str, path: str, longest: int):
-    """One group: its texts and its words with their ids."""
+def _joined(pattern: str):
+    """One group: its texts and its words with their ids and bytes."""
+
+    def encode(find: Callable[[str], list[str]], texts: pa.Array, keys: pa.Array, codes: pa.Array, raws: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """The ids (16 bits each) and the bytes of each text, out of those of its words."""
+        values, starts, first = pieces_of(split_texts(texts))
+        known = values.dictionary_encode()
+        place = pc.fill_null(pc.index_in(spaced_out(known.dictionary), value_set=keys), -1).to_numpy().copy()
+        index = known.indices.to_numpy()
+        # words of several matches, and heads, are joined up from their matches
+        used = np.zeros(len(place), bool)
+        used[index[~first]] = True
+        other = np.flatnonzero(used & (place < 0))
+        heads = np.unique(index[first])
+        split = [matches(find, w) for w in known.dictionary.take(pa.array(other)).to_pylist()] + [find(h) for h in known.dictionary.take(pa.array(heads)).to_pylist()]
+        at = pc.index_in(pa.array([m.encode() for own in split for m in own], pa.binary()), value_set=keys)
+        if at.null_count:
+            raise LookupError("a match is not among its group's words")
+        sizes = [len(own) for own in split]
+        place[other] = len(keys) + np.arange(len(other))
+        of_head = np.zeros(len(place), np.int64)
+        of_head[heads] = len(keys) + len(other) + np.arange(len(heads))
+        where = pa.array(np.where(first, of_head[index], place[index]))
+        return tuple(joined_up(np.diff(starts), pa.concat_arrays([column, joined_up(sizes, column.take(at))]).take(where)) for column in (codes, raws))
 
     def run(docs: pa.Table, blobs: pa.Table) -> pa.Table:
-        ranks = read_ranks(path)
-        decode = _Decoder(ranks)
-        find, library = regex.compile(pattern).findall, None
-        units: dict[str, bytes] = {}  # what follows a space -> its ids, 16 bits each
-        known: dict[str, bytes] = {}  # matches that don't begin with a space
-        for blob in blobs.column("blob"):
-            both = _unpacked(blob.as_py())
-            half = len(both) // 2
-            for word, code in zip(map(bytes.decode, both[:half]), both[half:]):
-                if word[0] == " ":
-                    units[word[1:]] = code
-                else:
-                    known[word] = code
-
-        def encode(matches: list[str]) -> bytes:
-            nonlocal library
-            found = []
-            for w in matches:
-                if len(w) > longest or len(w.encode()) > longest:
-                    if library is None:
-                        import tiktoken
-
-                        library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-                    found.append(np.asarray(library.encode_ordinary(w), "<u2").tobytes())
-                else:
-                    found.append(units[w[1:]] if w[0] == " " else known[w])
-            return found[0] if len(found) == 1 else b"".join(found)
-
-        def digests(docs: list, ids: list[np.ndarray]) -> list[tuple]:
-            return [(doc, len(own), hashlib.sha256(own.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest()) for doc, own, raw in zip(docs, ids, decode(ids))]
-
-        rows, waiting, ids, size = [], [], [], 0
-        folded = (pa.ipc.open_stream(x.as_buffer()).read_all() for x in docs.column("blob"))
-        for doc, text in ((d, t.as_py()) for table in folded for d, t in zip(table.column("doc_id").to_pylist(), table.column("text"))):
-            head, rest = spaced(text) if text else ("", [])
-            codes = list(map(units.get, rest))
-            at = -1
-            for _ in range(codes.count(None)):
-                at = codes.index(None, at + 1)
-                word = rest[at]
-                code = units.get(word)
-                if code is None:
-                    code = units[word] = encode(_matches(find, word))
-                codes[at] = code
-            waiting.append(doc)
-            ids.append(np.frombuffer(b"".join([encode(find(head)), *codes]), "<u2"))
-            size += len(ids[-1])
-            if size > 500_000:
-                rows += digests(waiting, ids)
-                waiting, ids, size = [], [], 0
-        rows += digests(waiting, ids)
+        find = regex.compile(pattern).findall
+        found = [_unpacked(blob.as_py(), 3) for blob in blobs.column("blob")]
+        columns = [pa.concat_arrays([x[k] for x in found]) if found else pa.array([], pa.binary()) for k in range(3)]
+        out: list[list] = [[], [], [], []]
+        for blob in docs.column("blob"):
+            rows = pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks()
+            texts = rows.column(1).chunk(0) if rows.num_rows else pa.array([], pa.string())
+            ids, raws = encode(find, texts, *columns)
+            out[0] += rows.column(0).to_pylist()
+            out[1] += (pc.binary_length(ids).to_numpy() // 2).tolist()
+            out[2] += [hashlib.sha256(np.frombuffer(x.as_buffer(), "<u2").astype("<u4")).hexdigest() for x in ids]
+            out[3] += [hashlib.sha256(x.as_buffer()).hexdigest() for x in raws]
         pa.default_memory_pool().release_unused()
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 4, kinds)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return pa.table([pa.array(x, t) for x, t in zip(out, kinds)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", group_bytes: int = 12 << 20, longest: int = 64) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; path: the rank file, where every executor finds it."""
+def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", group_bytes: int = 12 << 20) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; path: the rank file."""
     ranks = read_ranks(path)
     if max(ranks.values()) > 0xFFFF:
         raise ValueError("ids above 65535 need wider slots")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text")).alias("all"), F.avg(F.octet_length("text")).alias("mean")).first()
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total, mean = size["all"] or 1, max(1, size["mean"] or 1)
-    group = min(group_bytes, max(1 << 20, total / tasks))
-    buckets = max(4 * tasks, int(total // (8 << 20)))
-    rows = rows.withColumn("part", F.expr(f"rid div {max(16, int(group / mean))}")).drop("rid")
-    dealt = rows.select("part", "text").mapInArrow(_distinct(pattern, longest, buckets), "bucket long, part long, blob binary")
-    words = encode_words(dealt.groupBy("bucket").applyInArrow(_bucket, ROW), ranks)
+    docs = stable(docs, "documents")  # the two plans below find the same groups
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    tasks, total = parts_for(docs, 64 << 20), size_of(docs)
+    group = min(group_bytes, max(1 << 20, total // tasks))
+    buckets = max(4 * tasks, total // (8 << 20))
+    dealt = rows.select("text").mapInArrow(_distinct(pattern, group, buckets), "bucket long, part long, blob binary")
+    words = encode_words(dealt.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_bucket, ROW), ranks)
+    words = words.withColumn("bytes", F.transform("ids", lambda own: decode_ids(own, ranks)))
     own = words.mapInArrow(_per_group, "part long, blob binary")
-    texts = rows.select("part", "doc_id", "text").mapInArrow(_folded(), "part long, blob binary")
-    return texts.groupBy("part").cogroup(own.groupBy("part")).applyInArrow(_joined(pattern, path, longest), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    texts = rows.mapInArrow(_folded(group), "part long, blob binary")
+    # numbers of partitions that grow with the input: a task reads a few groups however many there are
+    both = texts.repartition(tasks, "part").groupBy("part").cogroup(own.repartition(tasks, "part").groupBy("part"))
+    return both.applyInArrow(_joined(pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -77,7 +77,7 @@ TWEEDIE_POWER = 1.5
 TWEEDIE_LEVELS = (12,)
 # ------------------------------------------------------------------------------------------------------------------------------
 
-#: Columns that a model may see beside the lag families.
+#: The names of the columns that a model may see beside the lag families.
 EXOGENOUS = (
     "avg_sell_price", "price_change", "price_vs_mean", "has_event", "has_event_2", "snap",
     "year", "month", "day", "dayofweek", "weekofyear", "is_weekend",
@@ -90,21 +90,29 @@ EXOGENOUS = (
 
 @dataclass(frozen=True)
 class Profile:
-    """What a training run may spend."""
+    """What a training run does and may spend."""
 
     name: str
+    baseline: bool  # classical forecasts beside the naive ones
+    selection: bool  # permutation importance and backward elimination
+    explain: bool  # importances of the final model
+    search: bool
+    bench_trees: int
     trials: int
+    seconds: int
+    search_trees: int
     folds: int
-    permutation_rows: int
-    permutation_repeats: int
-    batch: int
-    tolerance: float
-    trees: int
+    final_trees: int
+    permutation_rows: int = 15_000
+    permutation_repeats: int = 5
+    batch: int = 16
+    tolerance: float = 0.02
 
 
+# The budgets of the four profiles.
 PROFILES = {
-    "fast": Profile("fast", 3, 1, 2_000, 1, 16, 0.02, 5),
-    "moderate": Profile("moderate", 15, 2, 8_000, 2, 16, 0.02, 20),
-    "efficient": Profile("efficient", 35, 3, 15_000, 3, 16, 0.02, 40),
-    "optimized": Profile("optimized", 100, 3, 15_000, 3, 8, 0.001, 80),
+    "fast": Profile("fast", False, False, False, False, 500, 100, 180, 500, 1, 1_000),
+    "moderate": Profile("moderate", False, False, False, True, 1_500, 200, 300, 1_500, 3, 5_000),
+    "efficient": Profile("efficient", True, True, True, True, 800, 300, 600, 800, 1, 1_500),
+    "optimized": Profile("optimized", True, True, True, True, 1_500, 500, 600, 1_500, 3, 5_000),
 }

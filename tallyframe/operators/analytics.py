@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +98,83 @@ def autocorrelation(df: DataFrame, lags: tuple[int, ...] = (1, 7, 28, 364)) -> D
     return wide.agg(*(F.corr("sales", f"l{k}").alias(f"l{k}") for k in lags)).unpivot([], [f"l{k}" for k in lags], "name", "acf").select(F.expr("cast(substr(name, 2) as int)").alias("lag"), "acf")
 
 
+def partial_autocorrelation(df: DataFrame, most: int = 28) -> DataFrame:
+    """lag, pacf of the daily total, for lags 1 to ``most``, by the recursion of Durbin and Levinson over its autocorrelations.
+
+    The autocorrelations are those about the whole mean, divided by the number of days, so the recursion is stable. They are ``most``
+    sums of one pass; the recursion is on the driver.
+    """
+    total = df.groupBy("date").agg(F.sum("sales").alias("sales"))
+    rows = Window.partitionBy(F.lit(1)).orderBy("date")
+    centred = total.withColumn("x", F.col("sales") - F.avg("sales").over(Window.partitionBy(F.lit(1))))
+    products = centred.select(*((F.col("x") * (F.lag("x", k).over(rows) if k else F.col("x"))).alias(f"g{k}") for k in range(most + 1)))
+    gamma = products.agg(*(F.sum(f"g{k}").alias(f"g{k}") for k in range(most + 1))).first()
+    rho = [g / gamma[0] if gamma[0] and g is not None else 0.0 for g in gamma]
+    out, phi, left = [], [], 1.0
+    for k in range(1, most + 1):
+        last = (rho[k] - sum(p * rho[k - 1 - j] for j, p in enumerate(phi))) / left if left > 1e-12 else 0.0
+        phi = [p - last * phi[k - 2 - j] for j, p in enumerate(phi)] + [last]
+        left *= 1 - last * last
+        out.append((k, float(last)))
+    return df.sparkSession.createDataFrame(out, "lag int, pacf double")
+
+
+def _smoothed(x: np.ndarray, y: np.ndarray, at: np.ndarray, width: int, weights: np.ndarray) -> np.ndarray:
+    """Loess of degree 1: at each place, a line through the ``width`` nearest points by tricube weights. x is 0, 1, 2, ..."""
+    n = len(x)
+    near = min(width, n)
+    first = np.clip(np.floor(at - (near - 1) / 2).astype(int), 0, n - near)
+    index = first[:, None] + np.arange(near)
+    away = np.abs(x[index] - at[:, None])
+    reach = away.max(axis=1, keepdims=True) * max(1.0, width / n) + 1e-9
+    w = weights[index] * np.clip(1 - (away / reach) ** 3, 0, None) ** 3
+    sums = np.maximum(w.sum(axis=1), 1e-300)
+    mx, my = (w * x[index]).sum(axis=1) / sums, (w * y[index]).sum(axis=1) / sums
+    dx = x[index] - mx[:, None]
+    slope = (w * dx * (y[index] - my[:, None])).sum(axis=1) / np.maximum((w * dx * dx).sum(axis=1), 1e-12)
+    return my + slope * (at - mx)
+
+
+def seasonal_trend(values: np.ndarray, season: int, seasonal_width: int = 7, inner: int = 2, robust: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seasonal, trend and rest of a series by STL (Cleveland et al., 1990): loess over each phase, low-pass filter, loess of the trend."""
+    y = np.asarray(values, float)
+    n = len(y)
+    if n < 2 * season:
+        trend = np.full(n, y.mean() if n else 0.0)
+        return np.zeros(n), trend, y - trend
+    odd = lambda v: int(v) + 1 - int(v) % 2
+    trend_width, low_width = odd(np.ceil(1.5 * season / (1 - 1.5 / seasonal_width))), odd(season)
+    weights, trend, seasonal, t = np.ones(n), np.zeros(n), np.zeros(n), np.arange(n, dtype=float)
+    moved = lambda v, w: np.convolve(v, np.ones(w) / w, "valid")
+    for outer in range(robust + 1):
+        for _ in range(inner):
+            cycle = np.empty(n + 2 * season)
+            for phase in range(season):
+                own, w = (y - trend)[phase::season], weights[phase::season]
+                cycle[phase::season] = _smoothed(np.arange(len(own), dtype=float), own, np.arange(-1, len(own) + 1, dtype=float), seasonal_width, w)[: len(cycle[phase::season])]
+            low = moved(moved(moved(cycle, season), season), 3)
+            low = _smoothed(np.arange(len(low), dtype=float), low, np.arange(len(low), dtype=float), low_width, np.ones(len(low)))
+            seasonal = cycle[season : season + n] - low[:n]
+            trend = _smoothed(t, y - seasonal, t, trend_width, weights)
+        rest = y - seasonal - trend
+        if outer < robust:
+            bound = 6 * np.median(np.abs(rest)) + 1e-12
+            weights = np.clip(1 - np.minimum(np.abs(rest) / bound, 1) ** 2, 0, None) ** 2
+    return seasonal, trend, y - seasonal - trend
+
+
+def stl(df: DataFrame, season: int = 7, value: str = "sales", key: str = "series_id", robust: int = 0) -> DataFrame:
+    """key, date, value, seasonal, trend, rest: each series apart, in order of date. A series is one group; it has a row a period."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("date")
+        seasonal, trend, rest = seasonal_trend(own[value].to_numpy(), season, robust=robust)
+        return own.assign(seasonal=seasonal, trend=trend, rest=rest)
+
+    rows = df.select(key, "date", F.col(value).cast("double").alias(value))
+    return rows.groupBy(key).applyInPandas(run, f"{key} string, date date, {value} double, seasonal double, trend double, rest double")
+
+
 def decomposition(df: DataFrame, season: int = 7) -> DataFrame:
     """date, sales, trend (centred mean), seasonal (mean departure of the weekday) and rest, of the daily total."""
     total = df.groupBy("date").agg(F.sum("sales").alias("sales"))
@@ -164,5 +243,5 @@ def restock(report: DataFrame, margin: float = 1.15, shift_above: float = 6000.0
 
 
 def sample(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:
-    """n rows, the same each time: the least by a seeded hash of their key."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    """n rows, the same each time and in any engine: the least by the MD5 of their key and the seed."""
+    return df.orderBy(F.md5(F.concat_ws(":", *(F.col(k).cast("string") for k in key), F.lit(str(seed))).cast("binary")), *key).limit(n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -87,27 +88,23 @@ def forecast_by_series(train: DataFrame, valid: DataFrame, fit: Callable[[np.nda
 
 
 def holt_winters(season: int, rates: tuple[float, ...] = (0.05, 0.2, 0.5)) -> Callable[[np.ndarray, int], np.ndarray]:
-    """Additive level, trend and season; rates chosen from a grid by the squared one-step error."""
-
-    def once(y: np.ndarray, a: float, b: float, g: float) -> tuple[float, float, float, np.ndarray]:
-        level, trend = y[:season].mean(), (y[season : 2 * season].mean() - y[:season].mean()) / season
-        seasons, error = y[:season] - level, 0.0
-        seasons = seasons.copy()
-        for t in range(season, len(y)):
-            s = seasons[t % season]
-            error += (y[t] - level - trend - s) ** 2
-            before = level
-            level = a * (y[t] - s) + (1 - a) * (level + trend)
-            trend = b * (level - before) + (1 - b) * trend
-            seasons[t % season] = g * (y[t] - level) + (1 - g) * s
-        return error, level, trend, seasons
+    """Additive level, trend and season; rates chosen from a grid by the squared one-step error. The grid runs along the series at once."""
+    a, b, g = np.array(list(itertools.product(rates, (0.01, 0.1), rates))).T
 
     def fit(y: np.ndarray, h: int) -> np.ndarray:
         if len(y) < 2 * season:
             raise ValueError("shorter than two seasons")
-        _, level, trend, seasons = min((once(y, a, b, g) for a in rates for b in (0.01, 0.1) for g in rates), key=lambda x: x[0])
+        level, trend = np.full(len(a), y[:season].mean()), np.full(len(a), (y[season : 2 * season].mean() - y[:season].mean()) / season)
+        seasons, error = np.repeat((y[:season] - y[:season].mean())[:, None], len(a), axis=1), np.zeros(len(a))
+        for t in range(season, len(y)):
+            s, before = seasons[t % season], level + trend
+            error += (y[t] - before - s) ** 2
+            old, level = level, a * (y[t] - s) + (1 - a) * before
+            trend = b * (level - old) + (1 - b) * trend
+            seasons[t % season] = g * (y[t] - level) + (1 - g) * s
+        best = int(error.argmin())
         k = np.arange(1, h + 1)
-        return level + k * trend + seasons[(len(y) - 1 + k) % season]
+        return level[best] + k * trend[best] + seasons[(len(y) - 1 + k) % season, best]
 
     return fit
 
@@ -139,27 +136,52 @@ def theta(season: int) -> Callable[[np.ndarray, int], np.ndarray]:
     return fit
 
 
-def seasonal_arima(season: int) -> Callable[[np.ndarray, int], np.ndarray]:
-    """(1, 1, 1)(1, 1, 1) by conditional least squares: a long autoregression gives the shocks, then one regression all terms."""
+def seasonal_arima(season: int, rounds: int = 12) -> Callable[[np.ndarray, int], np.ndarray]:
+    """(1, 1, 1)(1, 1, 1): the four coefficients by conditional least squares.
+
+    A long autoregression gives first shocks and a regression on them first coefficients; Gauss-Newton steps on the sum of squared
+    shocks, halved until they help, do the rest.
+    """
+
+    def lagged(w: np.ndarray, e: np.ndarray, t: int, p: np.ndarray) -> float:
+        """What is expected at t: both polynomials multiplied out."""
+        a, s, b, m = p
+        return a * w[t - 1] + s * w[t - season] - a * s * w[t - season - 1] + b * e[t - 1] + m * e[t - season] + b * m * e[t - season - 1]
+
+    def shocks_of(w: np.ndarray, p: np.ndarray) -> np.ndarray:
+        e = np.zeros(len(w))
+        for t in range(season + 1, len(w)):
+            e[t] = w[t] - lagged(w, e, t, p)
+        return e
+
+    def start(w: np.ndarray, long: int) -> np.ndarray:
+        past = np.column_stack([w[long - k : len(w) - k] for k in range(1, long + 1)])
+        gram = past.T @ past
+        e = np.r_[np.zeros(long), w[long:] - past @ np.linalg.solve(gram + 1e-4 * np.trace(gram) / long * np.eye(long), past.T @ w[long:])]
+        terms = np.column_stack([x[long - k : len(w) - k] for x in (w, e) for k in (1, season)])
+        return np.linalg.lstsq(terms, w[long:], rcond=None)[0].clip(-0.95, 0.95)
 
     def fit(y: np.ndarray, h: int) -> np.ndarray:
         w = np.diff(y)
         w = w[season:] - w[:-season]
-        long = season + 2
-        if len(w) < 3 * long:
+        long = min(2 * season + 2, len(w) // 4)
+        if long < season + 2:
             raise ValueError("too short")
-        lagged = np.column_stack([w[long - k : len(w) - k] for k in (1, 2, season, season + 1)])
-        shocks = np.r_[np.zeros(long), w[long:] - lagged @ np.linalg.lstsq(lagged, w[long:], rcond=None)[0]]
-        terms = lambda a, e, t: [a[t - 1], a[t - season], a[t - season - 1], e[t - 1], e[t - season], e[t - season - 1]]
-        x = np.array([terms(w, shocks, t) for t in range(long, len(w))])
-        ridge = 1e-3 * np.trace(x.T @ x) / x.shape[1] * np.eye(x.shape[1])
-        beta = np.linalg.solve(x.T @ x + ridge, x.T @ w[long:])
-        a, e, z = list(w), list(shocks), list(y)
-        for _ in range(h):
-            step = float(np.dot(terms(a, e, len(a)), beta))
-            a.append(step)
-            e.append(0.0)
-            z.append(z[-1] + z[-season] - z[-season - 1] + step)
+        p = start(w, long)
+        e = shocks_of(w, p)
+        for _ in range(rounds):
+            slope = np.column_stack([(shocks_of(w, p + 1e-4 * way) - e) / 1e-4 for way in np.eye(4)])
+            gram = slope.T @ slope
+            move = np.linalg.solve(gram + (1e-6 * np.trace(gram) + 1e-12) * np.eye(4), slope.T @ e)
+            tried = ((q, shocks_of(w, q)) for q in ((p - move / 2**k).clip(-0.98, 0.98) for k in range(6)))
+            better = next(((q, x) for q, x in tried if x @ x < e @ e * (1 - 1e-6)), None)
+            if better is None:
+                break
+            p, e = better
+        w, e, z = np.r_[w, np.zeros(h)], np.r_[e, np.zeros(h)], list(y)
+        for t in range(len(w) - h, len(w)):
+            w[t] = lagged(w, e, t, p)
+            z.append(z[-1] + z[-season] - z[-season - 1] + w[t])
         return np.array(z[len(y) :])
 
     return fit

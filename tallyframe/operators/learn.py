@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import random
 import time
 from collections.abc import Callable
@@ -13,6 +15,7 @@ from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, Lin
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.config import TWEEDIE_LEVELS, Profile
 from tallyframe.operators import metrics
 
 SEED = 42
@@ -83,12 +86,17 @@ def score(df: DataFrame, objective: str = "rmse") -> float:
     return df.agg(metrics.objective(objective).alias("s")).first().s
 
 
-def bench(train: DataFrame, valid: DataFrame, features: list[str], categories: list[str], families: tuple[str, ...] = tuple(FAMILIES), objective: str = "rmse") -> list[dict]:
-    """One row for each family with its defaults: family, score, wape, seconds."""
+def objective_of(level: int) -> str:
+    """What a level's models are judged by: the sparsest levels by Tweedie deviance, the others by the root of the mean square."""
+    return "tweedie" if level in TWEEDIE_LEVELS else "rmse"
+
+
+def bench(train: DataFrame, valid: DataFrame, features: list[str], categories: list[str], families: tuple[str, ...] = tuple(FAMILIES), objective: str = "rmse", params: dict | None = None) -> list[dict]:
+    """One row for each family with its defaults (or params): family, score, wape, seconds."""
     out = []
     for name in families:
         began = time.time()
-        done = predict(fit(train, features, categories, name), valid, features, categories)
+        done = predict(fit(train, features, categories, name, params), valid, features, categories)
         row = done.agg(metrics.objective(objective).alias("score"), metrics.point()["wape"].alias("wape")).first()
         out.append({"family": name, "score": row.score, "wape": row.wape, "seconds": time.time() - began})
     return out
@@ -116,7 +124,7 @@ def naive_table(train: DataFrame, valid: DataFrame, grain: str) -> DataFrame:
     return out
 
 
-def permutation_importance(model: PipelineModel, valid: DataFrame, features: list[str], categories: list[str], rows: int = 15_000, repeats: int = 3, objective: str = "rmse") -> dict[str, float]:
+def permutation_importance(model: PipelineModel, valid: DataFrame, features: list[str], categories: list[str], rows: int = 15_000, repeats: int = 5, objective: str = "rmse") -> dict[str, float]:
     """How much worse the score gets when a column's values change rows. valid is sampled by a hash of its key, so the work is bounded.
 
     A column is shuffled by joining two orders of the sample: its own numbering and one by a seeded hash.
@@ -124,15 +132,14 @@ def permutation_importance(model: PipelineModel, valid: DataFrame, features: lis
     own = valid.orderBy(F.xxhash64("series_id", "date", F.lit(SEED)), "series_id", "date").limit(rows)
     numbered = own.withColumn("__k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("series_id", "date"))).cache()
     base = score(predict(model, numbered, features, categories), objective)
+    copies = numbered.withColumn("__rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))  # all repeats of a column in one pass
     out = {}
     for name in features:
-        worse = 0.0
-        for r in range(repeats):
-            order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("series_id", "date", F.lit(SEED + 1 + r), F.lit(name)), "series_id", "date")
-            moved = numbered.select(F.row_number().over(order).alias("__k"), F.col(name).alias("__moved"))
-            mixed = numbered.join(moved, "__k").withColumn(name, F.col("__moved")).drop("__moved")
-            worse += score(predict(model, mixed, features, categories), objective) - base
-        out[name] = worse / repeats
+        order = Window.partitionBy("__rep").orderBy(F.xxhash64("series_id", "date", F.col("__rep") + SEED + 1, F.lit(name)), "series_id", "date")
+        moved = copies.select("__rep", F.row_number().over(order).alias("__k"), F.col(name).alias("__moved"))
+        mixed = copies.join(moved, ["__rep", "__k"]).withColumn(name, F.col("__moved")).drop("__moved")
+        scores = predict(model, mixed, features, categories).groupBy("__rep").agg(metrics.objective(objective).alias("s"))
+        out[name] = scores.agg(F.avg("s").alias("s")).first().s - base
     numbered.unpersist()
     return dict(sorted(out.items(), key=lambda x: (-x[1], x[0])))
 
@@ -175,20 +182,43 @@ def eliminate(features: list[str], importance: dict[str, float], evaluate: Calla
     return top[1], top[0], log
 
 
-def search(space: dict[str, tuple], evaluate: Callable[[dict], float], trials: int, seed: int = SEED) -> tuple[dict, float, list[dict]]:
-    """Seeded random search without repeats. The defaults (no parameters) are the first trial."""
-    rnd = random.Random(seed)
-    seen, log = {()}, []
-    todo = [{}]
-    for _ in range(20 * trials):
-        if len(todo) >= trials:
-            break
-        pick = {k: rnd.choice(v) for k, v in sorted(space.items())}
-        if (key := tuple(pick.items())) not in seen:
-            seen.add(key)
-            todo.append(pick)
-    for pick in todo:
+def _proposal(space: dict[str, tuple], log: list[dict], rnd: random.Random, good: float = 0.25, draws: int = 24) -> dict:
+    """A tree-structured Parzen estimate: of some draws from the better trials' distribution, the one that they favour most over the rest."""
+    ranked = sorted(log, key=lambda r: r["score"])
+    cut = max(1, round(good * len(ranked)))
+
+    def shares(trials: list[dict], name: str) -> dict:
+        times = {v: 1.0 for v in space[name]}  # one of each, so that no value is ruled out
+        for t in trials:
+            if t["params"].get(name) in times:
+                times[t["params"][name]] += 1
+        return {v: n / sum(times.values()) for v, n in times.items()}
+
+    better = {k: shares(ranked[:cut], k) for k in sorted(space)}
+    worse = {k: shares(ranked[cut:], k) for k in sorted(space)}
+    drawn = [{k: rnd.choices(list(p), list(p.values()))[0] for k, p in better.items()} for _ in range(draws)]
+    return max(drawn, key=lambda pick: sum(math.log(better[k][v] / worse[k][v]) for k, v in pick.items()))
+
+
+def search(space: dict[str, tuple], evaluate: Callable[[dict], float], trials: int, seed: int = SEED, startup: int = 10, seconds: float | None = None) -> tuple[dict, float, list[dict]]:
+    """Seeded Bayesian search without repeats: the defaults (no parameters), some random trials, then proposals by what went well.
+
+    It ends after ``trials``, or ``seconds``, or when the space is used up.
+    """
+    rnd, began = random.Random(seed), time.time()
+    seen, log = set(), []
+    size = math.prod(map(len, space.values())) if space else 0
+    pick: dict = {}
+    while True:
+        seen.add(tuple(pick.items()))
         log.append({"params": pick, "score": evaluate(pick)})
+        if len(log) >= min(trials, size + 1) or seconds is not None and time.time() - began > seconds:
+            break
+        for tried in itertools.count():
+            # a proposal that was tried before gives way to a random one
+            pick = {k: rnd.choice(v) for k, v in sorted(space.items())} if len(log) <= startup or tried % 2 else _proposal(space, log, rnd)
+            if tuple(pick.items()) not in seen:
+                break
     best = min(log, key=lambda r: r["score"])
     return best["params"], best["score"], log
 
@@ -199,15 +229,45 @@ def cross_validated(folds: list[tuple[DataFrame, DataFrame]], features: list[str
     return sum(values) / len(values)
 
 
-def final_fit(train: DataFrame, valid: DataFrame, folds: list, features: list[str], categories: list[str], family: str, tuned: dict, objective: str = "rmse") -> tuple[PipelineModel, dict, float]:
-    """The tuned parameters if they beat the defaults over the folds, else the defaults; refitted on train and valid."""
-    values = {"default": cross_validated(folds, features, categories, family, {}, objective)}
+def final_fit(train: DataFrame, valid: DataFrame, folds: list, features: list[str], categories: list[str], family: str, tuned: dict, objective: str = "rmse", base: dict | None = None) -> tuple[PipelineModel, dict, float]:
+    """The tuned parameters if they beat the defaults over the folds, else the defaults; refitted on train and valid. base: of both."""
+    base = base or {}
+    values = {"default": cross_validated(folds, features, categories, family, base, objective)}
     if tuned:
-        values["tuned"] = cross_validated(folds, features, categories, family, tuned, objective)
-    params = tuned if tuned and values["tuned"] < values["default"] else {}
+        values["tuned"] = cross_validated(folds, features, categories, family, base | tuned, objective)
+    params = base | (tuned if tuned and values["tuned"] < values["default"] else {})
     return fit(train.unionByName(valid), features, categories, family, params), params, min(values.values())
 
 
+def training_run(train: DataFrame, valid: DataFrame, folds: list, features: list[str], categories: list[str], profile: Profile, level: int = 1, families: tuple[str, ...] = ("gbt", "forest", "ridge", "tweedie"), trees: int | None = None) -> dict:
+    """What a profile asks for: bench, selection, search, and the final fit of the winner.
+
+    folds: rolling (train, validation) pairs; the newest ``profile.folds`` are used. trees: a bound on the profile's trees, for trials.
+    """
+    objective = objective_of(level)
+
+    def of(family: str, count: int) -> dict:
+        count = min(count, trees or count)
+        return {"maxIter": count} if family.startswith("gbt") else {"numTrees": count} if family == "forest" else {}
+
+    results = [r for f in families for r in bench(train, valid, features, categories, (f,), objective, of(f, profile.bench_trees))]
+    best = winner(results)
+    chosen, log, importance = features, [], {}
+    if profile.selection:
+        evaluate = lambda names: score(predict(fit(train, names, [c for c in categories if c in names], best, of(best, profile.bench_trees)), valid, names, [c for c in categories if c in names]), objective)
+        model = fit(train, features, categories, best, of(best, profile.bench_trees))
+        importance = permutation_importance(model, valid, features, categories, profile.permutation_rows, profile.permutation_repeats, objective)
+        chosen, _, log = eliminate(features, importance, evaluate, profile.tolerance, profile.batch)
+    own = [c for c in categories if c in chosen]
+    tuned: dict = {}
+    if profile.search:
+        evaluate_params = lambda p: score(predict(fit(train, chosen, own, best, of(best, profile.search_trees) | p), valid, chosen, own), objective)
+        tuned, _, _ = search(FAMILIES[best].space, evaluate_params, profile.trials, seconds=profile.seconds)
+    final = of(best, profile.final_trees)
+    model, params, value = final_fit(train, valid, folds[-profile.folds :], chosen, own, best, tuned, objective, final)
+    return {"family": best, "bench": results, "features": chosen, "importance": importance, "elimination": log, "params": params, "score": value, "model": model}
+
+
 def feature_importance(model: PipelineModel, features: list[str], categories: list[str]) -> dict[str, float]:
     """A tree model's own importances by feature."""
     order = [c for c in categories if c in features] + [c for c in features if c not in categories]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.config import BY_NAME, DIMS, LEVELS, PRICE_LAG, TOTAL, Level
@@ -76,19 +76,24 @@ def dense_base(spark: SparkSession, sf_dir: str, level: str | Level, grain: str)
     """Every observed series at every period of the calendar: 0 sold where nothing was, and no price then."""
     level = BY_NAME[level] if isinstance(level, str) else level
     _check(grain)
-    rows = star.joined(spark, sf_dir)
-    sums = rows.groupBy(*level.dims, _time(grain).alias("t")).agg(*_sums())
     days = star.calendar(spark, sf_dir)
+    sums = star.joined(spark, sf_dir, days).groupBy(*level.dims, _time(grain).alias("t")).agg(*_sums())
     flags = [c for c in days.columns if c.startswith("snap_")]
-    periods = days.groupBy(_time(grain).alias("t")).agg(F.min("date").alias("date"), *(F.max(c).alias(c) for c in (*EVENTS, *flags)))
-    # the periods of the whole calendar are a few thousand rows whatever the data: each series takes them as an array and unfolds it
-    spread = periods.agg(F.array_sort(F.collect_list(F.struct(*periods.columns))).alias("__p"))
-    series = rows.select(*level.dims).distinct() if level.dims else rows.limit(1).select()
-    grid = series.withColumn("__one", F.lit(1)).join(F.broadcast(spread.withColumn("__one", F.lit(1))), "__one").select(*level.dims, F.inline("__p"))
-    full = grid.join(sums, [*level.dims, "t"], "left")
+    periods = days.groupBy(_time(grain).alias("p")).agg(F.min("date").alias("date"), *(F.max(c).alias(c) for c in (*EVENTS, *flags)))
+    ends = periods.agg(F.min("p").alias("first"), F.max("p").alias("last")).first()  # of the generated calendar, not of the fact
+    # a row stands for the periods up to the next of its series as well (the first one, for those before it): no join of the fact with
+    # a grid. From here on everything is by series, so this exchange serves all windows of a panel.
+    keyed = sums.select(*_keys(level.dims), "t", "sales", "gross_sales", "avg_sell_price").repartition("series_id")
+    row = Window.partitionBy("series_id", *DIMS).orderBy("t")
+    step = 7 if grain == "weekly" else 1
+    upto = F.coalesce(F.date_sub(F.lead("t").over(row), step), F.lit(ends["last"]).cast("date"))
+    since = F.when(F.lag("t").over(row).isNull(), F.lit(ends["first"]).cast("date")).otherwise(F.col("t"))
+    spread = keyed.withColumns({"upto": upto, "since": since}).withColumn("p", F.explode(F.sequence("since", "upto", F.expr(f"interval {step} days"))))
+    full = spread.join(F.broadcast(periods), "p")  # a row for each period
     snap = star.snap_of() if "state_id" in level.dims else F.lit(0)
+    sold = lambda c: F.when(F.col("p") == F.col("t"), F.col(c))
     zero = F.lit(0.0)
-    return full.select(*_keys(level.dims), "date", *EVENTS, snap.cast("int").alias("snap"), F.coalesce("sales", zero).alias("sales"), F.coalesce("gross_sales", zero).alias("gross_sales"), "avg_sell_price")
+    return full.select("series_id", *DIMS, "date", *EVENTS, snap.cast("int").alias("snap"), F.coalesce(sold("sales"), zero).alias("sales"), F.coalesce(sold("gross_sales"), zero).alias("gross_sales"), sold("avg_sell_price").alias("avg_sell_price"))
 
 
 def dense_panel(spark: SparkSession, sf_dir: str, level: str | Level, grain: str) -> DataFrame:

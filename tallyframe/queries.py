@@ -122,19 +122,13 @@ def dataset_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(star.dataset(spark, sf_dir), sales=2, mnt_gross_sales=2)
 
 
-_WIDE_DAYS = 28
+_ALL_DAYS = f"{S}, f AS (SELECT cat_id, d, SUM(sales) AS sales FROM fact JOIN cal USING (date) GROUP BY ALL) SELECT cat_id, d, {o.r('sales', 2)} FROM f"
 
 
-@register("unpivot", f"{S}, f AS (SELECT cat_id, d, SUM(sales) AS sales FROM fact JOIN cal USING (date) WHERE date < DATE '1995-01-02' + {_WIDE_DAYS} GROUP BY ALL) SELECT cat_id, d, {o.r('sales', 2)} FROM f")
+@register("unpivot", _ALL_DAYS)
+@register("unpivot_all_days", _ALL_DAYS)
 def unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = star.sales(spark, sf_dir).where(F.col("date") < F.date_add(F.lit("1995-01-02").cast("date"), _WIDE_DAYS))
-    wide = rows.groupBy("cat_id").pivot("d", [f"d_{k + 3}" for k in range(_WIDE_DAYS)]).agg(F.sum("sales"))
-    return rounded(files.unpivot_days(wide, ("cat_id",)), 2)
-
-
-@register("unpivot_all_days", f"{S}, f AS (SELECT cat_id, d, SUM(sales) AS sales FROM fact JOIN cal USING (date) GROUP BY ALL) SELECT cat_id, d, {o.r('sales', 2)} FROM f")
-def unpivot_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """unpivot, with a column for every day between the fact's first and last date."""
+    """A column for every day between the fact's first and last date, turned back to rows."""
     days = [r.d for r in star.calendar(spark, sf_dir).select("d").orderBy("date").collect()]
     wide = star.sales(spark, sf_dir).groupBy("cat_id").pivot("d", days).agg(F.sum("sales"))
     return rounded(files.unpivot_days(wide, ("cat_id",)), 2)
@@ -324,6 +318,17 @@ def autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(analytics.autocorrelation(star.sales(spark, sf_dir)), 6)
 
 
+@register("partial_autocorrelation")
+def partial_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(analytics.partial_autocorrelation(star.sales(spark, sf_dir)), 6)
+
+
+@register("stl")
+def stl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly seasons of each state's daily sales."""
+    return rounded(analytics.stl(plans.dense_base(spark, sf_dir, "state", "daily").select("series_id", "date", "sales")))
+
+
 @register("decomposition", f"{S}, {_TOTAL}, c AS (SELECT *, CASE WHEN COUNT(*) OVER w = 7 THEN AVG(sales) OVER w END AS trend FROM t WINDOW w AS (ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), s AS (SELECT *, AVG(sales - trend) OVER (PARTITION BY isodow(date)) AS seasonal FROM c) SELECT date, {o.r('sales', 2)}, {o.r('trend')}, {o.r('seasonal')}, {o.r('sales - trend - seasonal', 4, 'rest')} FROM s")
 def decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(analytics.decomposition(star.sales(spark, sf_dir)), sales=2)

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe import oracle as o
-from tallyframe.config import AVERAGE_WINDOWS, NAIVE_SEASONS, PROFILES
+from tallyframe.config import AVERAGE_WINDOWS, NAIVE_SEASONS
 from tallyframe.operators import analytics, features, forecast, learn, metrics, registry, serve, split
 from tallyframe.plans import panel as plans
 from tallyframe.queries import GRAIN, LEVEL, K, _dense, _evented, register, rounded
-from tallyframe.sources import star
+from tallyframe.sources import files, star
 
 SPLIT = o.split_dates(364, 28)
 
@@ -22,9 +22,15 @@ def on_split(select: str, ctes: str = "") -> str:
     return o.on_dense(LEVEL, GRAIN, f"{o.EVENTED}, {SPLIT}{', ' + ctes if ctes else ''}", select)
 
 
+def _dates(spark: SparkSession, sf_dir: str, grain: str = GRAIN) -> split.Split:
+    """The default split of a panel. Its dates are the calendar's, so the panel isn't built to find them."""
+    days = star.calendar(spark, sf_dir)
+    return split.default_split(days.where("wday = 1") if grain == "weekly" else days, grain)
+
+
 def _split(spark: SparkSession, sf_dir: str, level: str = LEVEL, grain: str = GRAIN) -> tuple[DataFrame, split.Split]:
-    """The panel with closures zeroed, and its default split. Its dates are the calendar's, so the panel isn't built to find them."""
-    return _evented(spark, sf_dir, level, grain), split.default_split(star.calendar(spark, sf_dir).where("wday = 1") if grain == "weekly" else star.calendar(spark, sf_dir), grain)
+    """The panel with closures zeroed, and its default split."""
+    return _evented(spark, sf_dir, level, grain), _dates(spark, sf_dir, grain)
 
 
 # splits -----------------------------------------------------------------------------------------------------------------------
@@ -157,7 +163,11 @@ sp AS (SELECT x.series_id, SUM(GREATEST(0, 0.75 * LEAST(x.sales, x.cy - z.cf), 0
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What is known and the forecasts, from a panel that is written once: errors read either several times."""
     df, s = _split(spark, sf_dir)
+    path = files.scratch(spark, "evaluated")
+    df.select(*K, "sales", "gross_sales", "avg_sell_price", "is_store_closed", "cat_id").write.parquet(path)
+    df = spark.read.parquet(path)
     known = df.where(F.col("date") < F.lit(s.test_start))
     return known, metrics.clip_closed(forecast.seasonal_naive(known, s.test(df), 7))
 
@@ -243,7 +253,7 @@ _UP = ("state", "cat", "state_cat")
 
 def _levels_forecast(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Weekly naive forecasts of the test days at several levels, as they add up; and the known days of the total."""
-    parts, s = [], _split(spark, sf_dir)[1]
+    parts, s = [], _dates(spark, sf_dir)
     for name in _UP:
         df = plans.dense_base(spark, sf_dir, name, GRAIN)
         done = forecast.moving_average(df.where(F.col("date") < F.lit(s.test_start)), s.test(df), 28)
@@ -319,7 +329,7 @@ def restock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(analytics.restock(report, shift_above=150.0), 2, error_pct=4)
 
 
-@register("sample_rows")
+@register("sample_rows", "SELECT * FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':42'), o_orderkey LIMIT 500")
 def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.sample(star.read(spark, sf_dir, "orders"), ["o_orderkey"], 500)
 
@@ -330,12 +340,9 @@ _MODEL_COLUMNS = ("price_vs_mean", "snap", "month", "dayofweek", "weekofyear", "
 
 def _model_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, split.Split, list[str], list[str]]:
     """Train, masked validation and masked test rows of a level with what models see; written once, as every fit reads it."""
-    from tallyframe.sources.files import scratch
-
-    df, s = _split(spark, sf_dir, "cat")
-    df = _dense(spark, sf_dir, "cat")
+    df, s = _dense(spark, sf_dir, "cat"), _dates(spark, sf_dir)
     own = features.lag_features(features.derived_features(df), GRAIN, only="^(" + "|".join(c for c in _MODEL_COLUMNS if "lag" in c) + ")$")
-    path = scratch(spark, "frames")
+    path = files.scratch(spark, "frames")
     split.masked_split(own.select(*K, "cat_id", "sales", "gross_sales", "avg_sell_price", "is_store_closed", *_MODEL_COLUMNS), s, GRAIN).write.parquet(path)
     rows = spark.read.parquet(path)
     train, valid, test = (rows.where(F.col("split") == x) for x in ("train", "valid", "test"))
@@ -378,7 +385,7 @@ def search_and_final_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small search, folds, the final fit on train and validation, and its test errors beside the weekly naive forecast."""
     train, valid, test, s, names, categories = _model_frames(spark, sf_dir)
     evaluate = lambda p: learn.score(learn.predict(learn.fit(train, names, categories, "ridge", p), valid, names, categories))
-    best, _, _ = learn.search(learn.FAMILIES["ridge"].space, evaluate, PROFILES["fast"].trials)
+    best, _, _ = learn.search(learn.FAMILIES["ridge"].space, evaluate, 4)  # its space has three values beside the defaults
     folds = [(a, b) for a, b in split.rolling_folds(train, s, GRAIN, 2)[:1]] + [(train, valid)]
     model, params, _ = learn.final_fit(train, valid, folds, names, categories, "ridge", best)
     done = learn.predict(model, test, names, categories).select(*K, "sales", "forecast", F.lit("ridge").alias("model"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tallyframe.config import BY_ID, Level
 from tallyframe.operators.features import downcast
 from tallyframe.operators.split import LAG_FAMILIES
+from tallyframe.sources.store import Folder, FolderHandler
 
 IDS = ("id", "item_id", "dept_id", "cat_id", "store_id", "state_id")
 CALENDAR = "date date, wm_yr_wk int, weekday string, wday int, month int, year int, d string, event_name_1 string, event_type_1 string, event_name_2 string, event_type_2 string, snap_CA int, snap_TX int, snap_WI int"
@@ -149,10 +150,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def _file(path: str) -> tuple[Folder, str]:
+    folder, _, name = path.rpartition("/")
+    return Folder(folder or "."), name
+
+
 def write_json(values: dict, path: str) -> None:
-    """Metrics of a run: a few numbers, kept on the driver."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(values, indent=2, sort_keys=True))
+    """Metrics of a run: a few numbers."""
+    folder, name = _file(path)
+    folder.write(name, json.dumps(values, indent=2, sort_keys=True))
 
 
 def write_test_set(df: DataFrame, path: str) -> None:
@@ -162,9 +168,8 @@ def write_test_set(df: DataFrame, path: str) -> None:
 
 def log_to(path: str, name: str = "tallyframe") -> logging.Logger:
     """One log file for a run."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
     logger = logging.getLogger(name)
-    handler = logging.FileHandler(path)
+    handler = FolderHandler(*_file(path))
     handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
     logger.addHandler(handler)
     logger.setLevel(logging.INFO)

@@ -6,7 +6,7 @@ the supplier's nation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The Saturday that retail week 1 begins on.
@@ -44,11 +44,15 @@ def day_id(date: Column) -> Column:
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id columns, d, date, sales (units) and paid (revenue), one row for each item, store and day with sales."""
+    """id columns, d, date, sales (units), paid (revenue) and sell_price (what a unit cost in that retail week), one row for each item,
+    store and day with sales."""
     lines = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", F.col("l_shipdate").cast("date").alias("date"), "l_quantity", "l_extendedprice")
-    # aggregate before joining: the dimensions depend on the keys only, so the shuffle carries four columns and the joins see one row
-    # per item, store and day
+    # one exchange, by item and store, serves the daily sums and the weekly price; the dimensions depend on the keys only, so it comes
+    # before the joins and carries five columns. Items sell about one line a store and day, so there is nothing to combine before it.
+    lines = lines.repartition("l_partkey", "l_suppkey")
     daily = lines.groupBy("l_partkey", "l_suppkey", "date").agg(F.sum("l_quantity").alias("sales"), F.sum("l_extendedprice").alias("paid"))
+    week = Window.partitionBy("l_partkey", "l_suppkey", "wm_yr_wk")
+    daily = daily.withColumn("wm_yr_wk", retail_week(F.col("date"))).withColumn("sell_price", F.try_divide(F.sum("paid").over(week), F.sum("sales").over(week)))
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("cat_id"), F.concat_ws("_", "p_type", "p_brand").alias("dept_id"))
     nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
     places = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)  # 25 nations, 5 regions
@@ -56,7 +60,7 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = daily.join(part, "l_partkey").join(store, "l_suppkey")
     return out.select(
         F.col("l_partkey").cast("string").alias("item_id"), "dept_id", "cat_id", F.col("l_suppkey").cast("string").alias("store_id"), "state_id",
-        day_id(F.col("date")).alias("d"), "date", "sales", "paid",
+        day_id(F.col("date")).alias("d"), "date", "sales", "paid", "sell_price",
     )
 
 
@@ -107,11 +111,13 @@ def snap_of(state: str | Column = "state_id") -> Column:
     return out
 
 
-def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact with its calendar row and its price: two left joins, the second on a key that the first brings."""
-    fact = sales(spark, sf_dir)
-    days = calendar(spark, sf_dir)
-    return fact.drop("date").join(F.broadcast(days), "d", "left").join(prices(fact), ["store_id", "item_id", "wm_yr_wk"], "left")
+def joined(spark: SparkSession, sf_dir: str, days: DataFrame | None = None) -> DataFrame:
+    """The fact with its calendar row and its price. days: the calendar, if at hand.
+
+    The price of an item in a store and week is brought along by the fact, which it is derived from; only the calendar is joined.
+    """
+    fact, days = sales(spark, sf_dir), calendar(spark, sf_dir) if days is None else days
+    return fact.drop("date").join(F.broadcast(days), "d", "left")
 
 
 def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:

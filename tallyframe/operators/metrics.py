@@ -75,14 +75,13 @@ def weighted(per_series: DataFrame, weights: DataFrame | None, measures: dict[st
 def spec_by_series(df: DataFrame, y: str = "sales", f: str = "forecast", under: float = 0.75, over: float = 0.25, *keys: str) -> DataFrame:
     """series_id, spec: cost of stock that lies about or lacks, by the units and days that demand and forecast are apart.
 
-    A pair of days i <= t costs by cumulative sums, so each series is joined with itself up to t: horizons are short (a block or a
-    year), and the join is by series, never across.
+    A pair of days i <= t costs by cumulative sums. Each series is one row of arrays, short ones (a block or a year of days), and the
+    pairs are folded there without a join.
     """
     keys = keys or (SERIES,)
     rows = Window.partitionBy(*keys).orderBy("date")
     upto = rows.rowsBetween(Window.unboundedPreceding, 0)
     own = df.select(*keys, F.col(y).alias("__y"), F.col(f).alias("__f"), F.row_number().over(rows).alias("__i"), F.sum(y).over(upto).alias("__cy"), F.sum(f).over(upto).alias("__cf"))
-    # each series as one row of arrays; a pair's cost is folded without a join
     packed = own.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__i", "__y", "__f", "__cy", "__cf"))).alias("__a"))
     cost = f"greatest(0D, {under} * least(x.__y, x.__cy - z.__cf), {over} * least(x.__f, x.__cf - z.__cy)) * (z.__i - x.__i + 1)"
     total = F.expr(f"aggregate(__a, 0D, (s, x) -> s + aggregate(slice(__a, x.__i, size(__a)), 0D, (r, z) -> r + {cost}))")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe import oracle as o
-from tallyframe.config import AVERAGE_WINDOWS, NAIVE_SEASONS
+from tallyframe.config import AVERAGE_WINDOWS, DIMS, NAIVE_SEASONS
 from tallyframe.operators import analytics, features, forecast, learn, metrics, registry, serve, split
 from tallyframe.plans import panel as plans
 from tallyframe.queries import GRAIN, LEVEL, K, _dense, _evented, register, rounded
@@ -166,7 +166,7 @@ def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """What is known and the forecasts, from a panel that is written once: errors read either several times."""
     df, s = _split(spark, sf_dir)
     path = files.scratch(spark, "evaluated")
-    df.select(*K, "sales", "gross_sales", "avg_sell_price", "is_store_closed", "cat_id").write.parquet(path)
+    df.select(*K, *DIMS, "sales", "gross_sales", "avg_sell_price", "is_store_closed").write.parquet(path)
     df = spark.read.parquet(path)
     known = df.where(F.col("date") < F.lit(s.test_start))
     return known, metrics.clip_closed(forecast.seasonal_naive(known, s.test(df), 7))
@@ -231,6 +231,14 @@ def predictions_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.predictions_report(_evaluated(spark, sf_dir)[1]), 2, wape=4, bias=4)
 
 
+@register("test_set_sink", on_split(f"SELECT series_id, {', '.join(DIMS)}, date, {o.r('sales', 2)}, {o.r('y_pred', 2, 'forecast')} FROM rp", f"{_EVAL}, {_REPORT}"))
+def test_set_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dimensions and forecasts of the test rows, as they are written and read back."""
+    path = files.scratch(spark, "test_set")
+    files.write_test_set(_evaluated(spark, sf_dir)[1], path)
+    return rounded(spark.read.parquet(path), 2)
+
+
 _LOGP = "LN(1 + GREATEST(y_pred, 0)) - LN(1 + GREATEST(sales, 0))"
 _SERIES_SQL = f"""SELECT r.series_id, {o.b('COUNT(*)', 'n_days')}, {o.b('SUM(CASE WHEN sales > 0 THEN 1 ELSE 0 END)', 'n_days_with_sales')}, {o.r('SUM(sales)', 2, 'sales')}, {o.r('SUM(y_pred)', 2, 'y_pred')},
 {o.r('SUM(sales - y_pred)', 2, 'error')}, {o.r('SUM(ABS(sales - y_pred))', 2, 'abs_error')}, {o.r('SUM(gross_sales)', 2, 'gross_sales')}, {o.r('SUM(gross_sales) / (SELECT SUM(gross_sales) FROM rp)', 4, 'gross_sales_pct')},
@@ -400,6 +408,18 @@ def regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.regression_table(rows)
 
 
+@register("list_levels", "SELECT * FROM (VALUES (3, 'cat', 'daily', '20240102T000000Z', 2), (3, 'cat', 'weekly', '20240101T000000Z', 1), (12, 'item_store', 'daily', '20240103T000000Z', 1)) t(level, name, grain, latest, versions)")
+def list_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry's levels, after its table was lost and filled again from the artifacts."""
+    kept = registry.Registry(files.scratch(spark, "registry"), spark)
+    for level, grain, version in ((3, "daily", "20240101T000000Z"), (3, "daily", "20240102T000000Z"), (3, "weekly", "20240101T000000Z"), (12, "daily", "20240103T000000Z")):
+        kept.add(registry.Artifact(level, grain, "sales", "ridge", ["n"], {}, "1998-01-01"), version=version)
+    kept.folder.write("registry.json", "{}")
+    kept.backfill()
+    rows = [(r["level"], r["name"], r["grain"], r["latest"], r["versions"]) for r in kept.levels()]
+    return spark.createDataFrame(rows, "level int, name string, grain string, latest string, versions int")
+
+
 @register("build_target_row")
 def build_target_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The featured row of the day after the panel's last one."""

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: ASCII white space, the only white space that the corpus contracts name.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 
+#: The folders of this driver, in the order they were made.
+MADE: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus, opened by Spark's reader only (the path may be in any store)."""
@@ -30,9 +33,19 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     path = f"{scratch_root(spark)}/{what}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    MADE.append(path)
     return path
 
 
+def consume(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Delete the folders that were made after the first ``since`` of MADE, but for the last ``keep``: nothing reads them any more."""
+    gone = MADE[since : len(MADE) - keep]
+    del MADE[since : len(MADE) - keep]
+    for path in gone:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession

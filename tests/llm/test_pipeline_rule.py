@@ -9,12 +9,12 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
+from test_near_texts import slow_kept  # noqa: E402
+from test_pii_candidates import slow_redacted  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 from tallyframe.llm import pii  # noqa: E402
 from tallyframe.llm.tokens import default_path  # noqa: E402
-from tests.llm.test_near_texts import slow_kept  # noqa: E402
-from tests.llm.test_pii_candidates import slow_redacted  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 

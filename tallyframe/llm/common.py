@@ -62,19 +62,27 @@ def _is_files(df: DataFrame) -> bool:
     return plan.nodeName().startswith(("LogicalRelation", "Relation"))
 
 
+SPLITS = "spark.sql.files.minPartitionNum"
+
+
 def stable(df: DataFrame, what: str) -> DataFrame:
     """df with partitions that are the same, row by row, in every plan made of the result.
 
-    Those of plain files depend on the files and the session alone. After a shuffle they depend on the sizes that a plan's columns
-    happen to have, and on which task came first; so any other rows are written once.
+    How plain files are split depends on the files, the session's settings, and the number of cores where ``SPLITS`` is unset, which
+    changes when executors come or go; so it is set to what it stands at. After a shuffle partitions depend on the sizes that a plan's
+    columns happen to have, and on which task came first; so any other rows are written once.
     """
+    spark = df.sparkSession
+    if spark.conf.get(SPLITS, None) is None:
+        spark.conf.set(SPLITS, spark.sparkContext.defaultParallelism)
     return df if _is_files(df) else materialize(df, what)
 
 
 def numbered(df: DataFrame, name: str, what: str) -> DataFrame:
     """df with a row number that stays the same in every plan made of the result."""
-    rows = df.withColumn(name, F.monotonically_increasing_id())
-    return rows if _is_files(df) else materialize(rows, what)
+    if _is_files(df):
+        return stable(df, what).withColumn(name, F.monotonically_increasing_id())
+    return stable(df.withColumn(name, F.monotonically_increasing_id()), what)
 
 
 def size_of(df: DataFrame) -> int:

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import materialize
 from tallyframe.llm.tokens import encoder
 
+#: Bytes of texts that are encoded at a time: the pipeline's other stages leave an executor less memory than token files alone have.
+MOST = 4 << 20
 PIECES = "rid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -40,7 +42,7 @@ def _pieces(path: str, pattern: str, end: int, tokens: int):
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
             keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            for codes in encode.batches(batch.column(2), tail):
+            for codes in encode.batches(batch.column(2), tail, MOST):
                 rows = []
                 for code, (rid, doc) in zip(codes, keys):
                     ids = memoryview(code.as_buffer())

@@ -27,7 +27,7 @@ OTHER = re.compile(r" (?=\s|\Z)")
 SPACED = tuple(f" {chr(c)}" for c in (*range(9, 14), *range(28, 33)))
 MARKS = frozenset(".,;:!?")
 #: Words that are Python objects at a time.
-STEP = 50_000
+STEP = 20_000
 
 
 def default_path(name: str) -> str:

@@ -207,7 +207,7 @@ class Encoder:
             out = pa.array([self.whole(apart[k]) + tail if k in apart else code for k, code in enumerate(out.to_pylist())], pa.binary())
         return out
 
-    def batches(self, texts: pa.Array, tail: bytes = b"", most: int = 16 << 20) -> Iterator[pa.Array]:
+    def batches(self, texts: pa.Array, tail: bytes = b"", most: int = 12 << 20) -> Iterator[pa.Array]:
         """The same for some megabytes of texts at a time, in order. A longer text is cut where tokens begin, so only its ids grow."""
         texts = texts.cast(pa.string())
         ends, at = np.cumsum(np.diff(offsets_of(texts)), dtype=np.int64), 0

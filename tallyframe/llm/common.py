@@ -95,6 +95,18 @@ def parts_for(df: DataFrame, bytes_a_part: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size_of(df) // bytes_a_part))
 
 
+#: A join side of so many rows may be broadcast; what a driver holds for it doesn't grow with the input.
+FEW = 100_000
+
+
+def join_hint(side: DataFrame) -> str:
+    """The hint for a join with side, by the rows it has: broadcast if they are few, else a shuffle of both sides, which AQE splits.
+
+    The optimizer would go by the bytes of compressed files, and take what explode makes for as many rows as it was made of.
+    """
+    return "broadcast" if side.limit(FEW + 1).count() <= FEW else "merge"
+
+
 def literal(values, kind: str = "bigint") -> Column:
     """An array of numbers, or of strings without commas, that the optimizer folds to a literal."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tallyframe.llm.common import materialize, numbered, with_group
+from tallyframe.llm.common import join_hint, materialize, numbered, with_group
 
 RID = "__simhash_row"
 SEED = 42
@@ -77,11 +77,12 @@ def links(prints: DataFrame, bucket: int = 32) -> DataFrame:
         array(struct(0 as kind, {high} as part), struct(1 as kind, {low} as part)),
         transform(sequence(0, 31), p -> struct(2 + p as kind, shiftrightunsigned({_clear('fp', '32 + p')}, 32) as part))))""").alias("k")).select("fp", "k.kind", "k.part")
     buckets = keyed.groupBy("kind", "part").agg(F.count("*").alias("n"), F.expr("bit_or(fp) ^ bit_and(fp)").alias("varied")).where("n > 1")
-    shared = materialize(keyed.join(buckets, ["kind", "part"]), "buckets")
+    buckets = materialize(buckets, "keys")
+    shared = materialize(keyed.join(buckets.hint(join_hint(buckets)), ["kind", "part"]), "buckets")
     small = shared.where(F.col("n") <= bucket).select("kind", "part", "fp", F.expr("if(kind < 2, 0L, shiftrightunsigned(fp, 30 + kind) & 1L)").alias("side"))
     a, b = small.where("kind < 2 or side = 0").alias("a"), small.where("kind < 2 or side = 1").alias("b")
     near = F.expr("a.kind = b.kind and a.part = b.part and (a.kind > 1 or a.fp < b.fp) and bit_count(a.fp ^ b.fp) <= 2")
-    pairs = a.join(b, near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    pairs = a.join(b.hint("merge"), near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
     # large buckets: wildcard the bits that vary there as well, two in the free half, or one there beside the wild one
     free = "if(kind = 1, shiftrightunsigned(varied, 32), varied & 4294967295L)"
@@ -105,12 +106,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    how = join_hint(labels)
     while True:
-        told = edges.join(labels, edges.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        lower = labels.join(told, "node").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
+        told = edges.join(labels.hint(how), edges.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
+        lower = labels.join(told.hint(how), "node").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
         lower = materialize(lower, "lower")
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        moved = materialize(lower.join(jump, "label").select("node", "was", F.least("label", "next").alias("label")), "labels")
+        moved = materialize(lower.join(jump.hint(how), "label").select("node", "was", F.least("label", "next").alias("label")), "labels")
         if moved.where("was != label").isEmpty():
             return moved.select("node", "label")
         labels = moved.select("node", "label")
@@ -125,10 +127,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))
     classes = materialize(rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("size")), "classes")
     labels = components(links(classes.select("fp"), bucket))
-    linked = classes.join(labels, classes.fp == labels.node, "left").select("fp", "size", "first", F.coalesce("label", "fp").alias("label"))
+    linked = classes.join(labels.hint(join_hint(labels)), classes.fp == labels.node, "left").select("fp", "size", "first", F.coalesce("label", "fp").alias("label"))
     linked = materialize(linked, "linked")
     heads = linked.groupBy("label").agg(F.min("first").alias("head"))
-    named = materialize(linked.join(heads, "label").select("fp", "size", F.col("head.doc_id").alias("component_id"), F.col("head.rid").alias("keep_rid")), "named")
+    named = materialize(linked.join(heads.hint("merge"), "label").select("fp", "size", F.col("head.doc_id").alias("component_id"), F.col("head.rid").alias("keep_rid")), "named")
     return with_group(rows, named, "fp", "size", max(1, rows.count())).select("rid", "doc_id", "fp", "component_id", "keep_rid")
 
 

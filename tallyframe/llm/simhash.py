@@ -101,8 +101,10 @@ def links(prints: DataFrame, bucket: int = 32) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, label of every node with an edge; label is the least node that can be reached.
 
-    Labels go along the edges and then jump to the label of the label, so the rounds grow with the logarithm of a path. A node's
-    edges are bounded (2,080 fingerprints lie within two bits), and what gathers at one label is a join that AQE splits.
+    In a round a node takes the least label around it, the label it had takes that too (so a whole tree of labels is hooked to another,
+    from wherever they touch), and labels jump to the label of the label. Of flat trees each is joined with another within two rounds,
+    and jumps halve the depth of others; so the rounds grow with logarithms, not with the length of a path.
+    A node's edges are bounded (2,080 fingerprints lie within two bits), and what gathers at one label is a join that AQE splits.
     """
     edges = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
@@ -111,8 +113,10 @@ def components(edges: DataFrame) -> DataFrame:
         told = edges.join(labels.hint(how), edges.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
         lower = labels.join(told.hint(how), "node").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
         lower = materialize(lower, "lower")
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        moved = materialize(lower.join(jump.hint(how), "label").select("node", "was", F.least("label", "next").alias("label")), "labels")
+        hooks = lower.where("label < was").groupBy(F.col("was").alias("node")).agg(F.min("label").alias("hook"))
+        hooked = materialize(lower.join(hooks.hint(how), "node", "left").select("node", "was", F.least("label", "hook").alias("label")), "hooked")
+        jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        moved = materialize(hooked.join(jump.hint(how), "label").select("node", "was", F.least("label", "next").alias("label")), "labels")
         if moved.where("was != label").isEmpty():
             return moved.select("node", "label")
         labels = moved.select("node", "label")

@@ -12,7 +12,7 @@ concatenates the byte pieces of the ids, for each distinct word once; a text's b
 Documents meet their words in groups of consecutive rows of some megabytes. A group deals its distinct words into buckets by hash; a
 bucket encodes each of its words once and sends every group its own words with their ids and bytes, and a co-group brings these to the
 group's texts. No dictionary of the corpus is broadcast or held in one place: a group's and a bucket's size stay the same as the corpus
-grows, and so does what a task reads.
+grows, and so does what a task reads. Texts are split into words, and their ids and bytes gathered, a megabyte at a time.
 
 Defined cases: a null text counts as empty and has no ids; repeated rows are rows each; a null doc_id stays null; an empty table
 gives an empty result; extra columns are ignored. Special tokens in a text are ordinary text. A text is in one group whatever its size.
@@ -40,6 +40,10 @@ NONE = 2**31 - 1
 SHORT = 64
 #: Words that are encoded as one row.
 A_ROW = 2000
+#: Bytes of texts that are split into words at a time: split words take many times the room of their text.
+A_TIME = 1 << 20
+#: Words that are Python objects at a time.
+STEP = 5_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -158,13 +162,26 @@ def _unpacked(blob: bytes, columns: int) -> list[pa.Array]:
 
 def _hashed(words: pa.Array, buckets: int) -> np.ndarray:
     """A bucket for each word (binary, not empty), by a polynomial of its bytes."""
-    at = offsets_of(words)
-    raw = np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]].astype(np.uint64)
-    at = at - at[0]
-    place = np.arange(len(raw)) - np.repeat(at[:-1], np.diff(at))
-    powers = np.cumprod(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
-    sums = np.add.reduceat((raw + np.uint64(1)) * powers[place], at[:-1])
-    return (((sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    out = np.zeros(len(words), np.int64)
+    for k in range(0, len(words), STEP):  # the numbers are eight bytes for each of the words' and several at a time
+        at = offsets_of(words.slice(k, STEP))
+        raw = np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]].astype(np.uint64)
+        at = at - at[0]
+        place = np.arange(len(raw)) - np.repeat(at[:-1], np.diff(at))
+        powers = np.cumprod(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+        sums = np.add.reduceat((raw + np.uint64(1)) * powers[place], at[:-1])
+        out[k : k + STEP] = ((sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(buckets)
+    return out
+
+
+def _some(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Texts in order, about so many bytes at a time; one at least."""
+    ends, at = np.cumsum(np.diff(offsets_of(texts)), dtype=np.int64), 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield texts.slice(at, upto - at)
+        at = upto
 
 
 class _Groups:
@@ -191,15 +208,20 @@ class _Groups:
 def _distinct(pattern: str, most: int, buckets: int):
     """For each group of rows: its distinct words, dealt into buckets by hash."""
 
-    def dealt(find: Callable[[str], list[str]], group: int, texts: pa.Array) -> pa.RecordBatch:
+    def split(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """The distinct words of some texts, and their distinct heads."""
         values, _, first = pieces_of(split_texts(texts))
-        words, heads = pc.unique(values.filter(pa.array(~first))), pc.unique(values.filter(pa.array(first)))
+        return pc.unique(values.filter(pa.array(~first))), pc.unique(values.filter(pa.array(first)))
+
+    def dealt(find: Callable[[str], list[str]], group: int, held: list[tuple[pa.Array, pa.Array]]) -> pa.RecordBatch:
+        words, heads = (pc.unique(pa.concat_arrays(column)) for column in zip(*held))
         letters = pc.and_(pc.string_is_ascii(words), pc.ascii_is_alpha(words))  # these are one match each
-        found = {m for head in heads.to_pylist() for m in find(head)}
-        for word in words.filter(pc.invert(letters)).to_pylist():
-            found.update(matches(find, word))
-        plain = spaced_out(words.filter(letters))
-        own = pc.unique(pa.concat_arrays([plain, pa.array([m.encode() for m in found], pa.binary())]))
+        own, other = [spaced_out(words.filter(letters))], words.filter(pc.invert(letters))
+        for k in range(0, len(heads), STEP):  # what is held as Python objects stays small
+            own.append(pa.array([m.encode() for m in {m for head in heads.slice(k, STEP).to_pylist() for m in find(head)}], pa.binary()))
+        for k in range(0, len(other), STEP):
+            own.append(pa.array([m.encode() for m in {m for word in other.slice(k, STEP).to_pylist() for m in matches(find, word)}], pa.binary()))
+        own = pc.unique(pa.concat_arrays(own))
         if not len(own):
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["bucket", "part", "blob"])
         table = pa.table({"bucket": _hashed(own, buckets), "word": own})
@@ -214,12 +236,14 @@ def _distinct(pattern: str, most: int, buckets: int):
         for batch in batches:
             for group, texts in groups.cut(batch.column(0)):
                 if group != now and held:
-                    yield dealt(find, now, pa.concat_arrays(held))
+                    yield dealt(find, now, held)
                     held = []
+                    pa.default_memory_pool().release_unused()
                 now = group
-                held.append(texts)
+                held += [split(some) for some in _some(texts, A_TIME)]
         if held:
-            yield dealt(find, now, pa.concat_arrays(held))
+            yield dealt(find, now, held)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -265,6 +289,7 @@ def _per_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     parts.append(int(part[k]))
                     blobs.append(_packed(*(column[0].take(at) for column in held)))
         yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+    pa.default_memory_pool().release_unused()
 
 
 def _folded(group: int, most: int = 4 << 20):
@@ -286,6 +311,7 @@ def _folded(group: int, most: int = 4 << 20):
                 for first in range(at, upto, step):
                     yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([fold(batch.slice(first, min(step, upto - first)))], pa.binary())], names=["part", "blob"])
                 at = upto
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -293,10 +319,12 @@ def _folded(group: int, most: int = 4 << 20):
 def _joined(pattern: str):
     """One group: its texts and its words with their ids and bytes."""
 
-    def encode(find: Callable[[str], list[str]], texts: pa.Array, keys: pa.Array, codes: pa.Array, raws: pa.Array) -> tuple[pa.Array, pa.Array]:
-        """The ids (16 bits each) and the bytes of each text, out of those of its words."""
-        values, starts, first = pieces_of(split_texts(texts))
+    def encode(find: Callable[[str], list[str]], texts: pa.Array, keys: pa.Array, codes: pa.Array, raws: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+        """The ids (16 bits each) and the bytes of each text, out of those of its words; some texts at a time, in order."""
+        lists = [split_texts(some) for some in _some(texts, A_TIME)]
+        values, starts, first = pieces_of(pa.concat_arrays(lists) if lists else split_texts(texts))
         known = values.dictionary_encode()
+        del lists, values
         place = pc.fill_null(pc.index_in(spaced_out(known.dictionary), value_set=keys), -1).to_numpy().copy()
         index = known.indices.to_numpy()
         # words of several matches, and heads, are joined up from their matches
@@ -304,16 +332,27 @@ def _joined(pattern: str):
         used[index[~first]] = True
         other = np.flatnonzero(used & (place < 0))
         heads = np.unique(index[first])
-        split = [matches(find, w) for w in known.dictionary.take(pa.array(other)).to_pylist()] + [find(h) for h in known.dictionary.take(pa.array(heads)).to_pylist()]
-        at = pc.index_in(pa.array([m.encode() for own in split for m in own], pa.binary()), value_set=keys)
+        flat, sizes = [pa.array([], pa.binary())], []
+        for own, split in ((other, lambda w: matches(find, w)), (heads, find)):
+            for k in range(0, len(own), STEP):  # what is held as Python objects stays small
+                found = [split(w) for w in known.dictionary.take(pa.array(own[k : k + STEP])).to_pylist()]
+                flat.append(pa.array([m.encode() for ms in found for m in ms], pa.binary()))
+                sizes += map(len, found)
+        at = pc.index_in(pa.concat_arrays(flat), value_set=keys)
         if at.null_count:
             raise LookupError("a match is not among its group's words")
-        sizes = [len(own) for own in split]
         place[other] = len(keys) + np.arange(len(other))
         of_head = np.zeros(len(place), np.int64)
         of_head[heads] = len(keys) + len(other) + np.arange(len(heads))
-        where = pa.array(np.where(first, of_head[index], place[index]))
-        return tuple(joined_up(np.diff(starts), pa.concat_arrays([column, joined_up(sizes, column.take(at))]).take(where)) for column in (codes, raws))
+        where = np.where(first, of_head[index], place[index]).astype(np.int32)
+        del known, index, first
+        codes, raws = (pa.concat_arrays([column, joined_up(sizes, column.take(at))]) for column in (codes, raws))
+        upto = 0
+        for some in _some(texts, A_TIME):
+            own = starts[upto : upto + len(some) + 1]
+            places = pa.array(where[own[0] : own[-1]])
+            yield tuple(joined_up(np.diff(own), column.take(places)) for column in (codes, raws))
+            upto += len(some)
 
     def run(docs: pa.Table, blobs: pa.Table) -> pa.Table:
         find = regex.compile(pattern).findall
@@ -323,11 +362,12 @@ def _joined(pattern: str):
         for blob in docs.column("blob"):
             rows = pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks()
             texts = rows.column(1).chunk(0) if rows.num_rows else pa.array([], pa.string())
-            ids, raws = encode(find, texts, *columns)
             out[0] += rows.column(0).to_pylist()
-            out[1] += (pc.binary_length(ids).to_numpy() // 2).tolist()
-            out[2] += [hashlib.sha256(np.frombuffer(x.as_buffer(), "<u2").astype("<u4")).hexdigest() for x in ids]
-            out[3] += [hashlib.sha256(x.as_buffer()).hexdigest() for x in raws]
+            for ids, raws in encode(find, texts, *columns):
+                out[1] += (pc.binary_length(ids).to_numpy() // 2).tolist()
+                out[2] += [hashlib.sha256(np.frombuffer(x.as_buffer(), "<u2").astype("<u4")).hexdigest() for x in ids]
+                out[3] += [hashlib.sha256(x.as_buffer()).hexdigest() for x in raws]
+        del found, columns
         pa.default_memory_pool().release_unused()
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.table([pa.array(x, t) for x, t in zip(out, kinds)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -204,8 +204,7 @@ _COUNTS = " UNION ALL ".join(f"SELECT {x.id} AS level, '{x.name}' AS name, {o.b(
 @register("count_series", f"{S} {_COUNTS}")
 def count_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The finest level's combinations are found once and the others counted in them."""
-    finest = star.sales(spark, sf_dir).select(*DIMS).distinct()
-    one = finest.agg(*(F.countDistinct(F.struct(*x.dims)).alias(x.name) if x.dims else F.least(F.count("*"), F.lit(1)).alias(x.name) for x in LEVELS))
+    one = plans.series(spark, sf_dir).agg(*(F.count(F.when(F.col("level") == x.id, 1)).alias(x.name) for x in LEVELS))
     names = F.array(*(F.struct(F.lit(x.id).alias("level"), F.lit(x.name).alias("name"), F.col(x.name).cast("long").alias("n")) for x in LEVELS))
     return one.select(F.inline(names))
 

@@ -52,6 +52,12 @@ def test_levels_tasks_grow_with_lines(spark, small_portions):
     assert max(df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) < 3 * 4 * 500
 
 
+def test_series_tasks_grow_with_lines(spark, small_portions):
+    df = panel.series(spark, SMALL)
+    assert not [x for x in exchanges(df) if "ENSURE_REQUIREMENTS" in x]
+    assert df.rdd.getNumPartitions() == 12 * LINES // 500 // 4
+
+
 def test_no_lines_have_no_series(spark, tmp_path):
     for t in TABLES:
         rows = star.read(spark, SMALL, t)
